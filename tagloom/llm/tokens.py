@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.session import cut
 
@@ -70,7 +71,7 @@ def _resplit(path: str):
 
     pattern = regex.compile(PATTERN)
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def split(s: pd.Series) -> pd.Series:
         return s.map(lambda t: [] if t is None else pattern.findall(t))
 
