@@ -17,9 +17,9 @@ LOOKALIKE_CYRILLIC = dict(zip("АВЕКМНОРСТХаеорсухіјѕЅІЈ
 LOOKALIKE_GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονικ", "ABEZHIKMNOPTYXovik"))
 
 # Blanks beside the plain one, characters without shape, hyphens beside the plain one.
-BLANKS = "               　"
-INVISIBLE = "­͏؜᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
-HYPHENS = "‐‑﹣－"
+BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
+HYPHENS = "\u2010\u2011\ufe63\uff0d"
 
 #: Java character class of every blank, for use inside brackets.
 JAVA_BLANK = r"\s\u0085   -     　"
@@ -62,7 +62,7 @@ def fold_key_py(text: str) -> str:
     """The same key in plain Python, for dimension rows on the driver."""
     out = []
     for ch in text:
-        if ch.isspace() or ch in BLANKS or ch in INVISIBLE or 0x300 <= ord(ch) <= 0x36F or ch in "゙゚":
+        if ch.isspace() or ch in BLANKS or ch in INVISIBLE or 0x300 <= ord(ch) <= 0x36F or ch in "\u3099\u309a":
             continue
         out.append(ch)
     return "".join(out).translate(_py_table()).lower()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tagloom.functions.textfold import JAVA_BLANK, fold_key, fold_key_py, strip_blanks
 from tagloom.session import small_rows
 
-_CUT, _LIT, _QUOTE = "", "", ""
+_CUT, _LIT, _QUOTE = "\ue001", "\ue002", "\ue003"
 _B = f"[{JAVA_BLANK}]"
 
 #: Marks that separate values in any field.
