@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.canonical import mapped_values
+from tagloom.llm.cut_off import cut_rates, cut_values
 from tagloom.llm.encoding import garbled_values
 from tagloom.llm.packing import fill_report, pack_corpus
 from tagloom.llm.plain import changed_values, plain_values
@@ -42,6 +43,14 @@ def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("genre").agg(F.count("*").alias("n"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return cut_values(table(spark, d, "common_tags")).select("rec_id", "fieldname").distinct()
+
+
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    return cut_rates(table(spark, d, "common_tags"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -59,6 +68,6 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(pack_corpus(table(spark, d, "documents")))
 
 
-QUERIES = {"p5_found": p5_found, "p5_unmatched": p5_unmatched, "p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_repaired": p4_repaired, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p9_fill": p9_fill}
+QUERIES = {"p7_found": p7_found, "p7_rates": p7_rates, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_repaired": p4_repaired, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p9_fill": p9_fill}
 
 ORACLE = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
