@@ -68,6 +68,25 @@ def fold_key_py(text: str) -> str:
     return "".join(out).translate(_py_table()).lower()
 
 
+@cache
+def width_table() -> tuple[str, str]:
+    """(from, to): wide and mathematical forms of one letter, digit or mark."""
+    src, dst = [], []
+    for lo, hi in [(0xFF01, 0xFF5F), (0x1D400, 0x1D800)]:
+        for cp in range(lo, hi):
+            if unicodedata.decomposition(chr(cp))[:6] in ("<wide>", "<font>"):
+                src.append(chr(cp))
+                dst.append(unicodedata.normalize("NFKC", chr(cp)))
+    return "".join(src), "".join(dst)
+
+
+def plain_words(col: Column) -> Column:
+    """Lower-case text in ordinary width with single blanks, without invisible characters; accents stay."""
+    src, dst = width_table()
+    seen = F.regexp_replace(col, "[" + INVISIBLE + "]", "")
+    return F.trim(F.regexp_replace(F.lower(F.translate(seen, src, dst)), f"[{JAVA_BLANK}]+", " "))
+
+
 def strip_blanks(col: Column) -> Column:
     """Text without blanks of any kind at either end."""
     return F.regexp_replace(col, rf"^[{JAVA_BLANK}]+|[{JAVA_BLANK}]+$", "")
