@@ -10,6 +10,7 @@ from tagloom.llm.cut_off import cut_rates, cut_values
 from tagloom.llm.encoding import garbled_values
 from tagloom.llm.packing import fill_report, pack_corpus
 from tagloom.llm.plain import changed_values, plain_values
+from tagloom.llm.subjects import corpus_makeup, document_areas
 from tagloom.llm.tokens import decode_corpus, encode_corpus
 from tagloom.session import table
 
@@ -68,6 +69,14 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(pack_corpus(table(spark, d, "documents")))
 
 
-QUERIES = {"p7_found": p7_found, "p7_rates": p7_rates, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_repaired": p4_repaired, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p9_fill": p9_fill}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return document_areas(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p10_makeup(spark: SparkSession, d: str) -> DataFrame:
+    return corpus_makeup(p10_found(spark, d), table(spark, d, "subject_areas"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_makeup": p10_makeup, "p7_found": p7_found, "p7_rates": p7_rates, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_repaired": p4_repaired, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p9_fill": p9_fill}
 
 ORACLE = {"p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
