@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tagloom.plans import training
+from tagloom.plans import resolve, training
 
-_MODULES = [training]
+_MODULES = [training, resolve]
 
 
 def queries() -> dict:
