@@ -21,7 +21,7 @@ def value_list(v_str: Column, v_list: Column, v_int: Column | None = None, v_boo
 
 def non_empty(values: Column) -> Column:
     """Trimmed entries without the empty ones."""
-    return F.filter(F.transform(values, F.trim), lambda x: x != "")
+    return F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def whole_int(text: Column) -> Column:

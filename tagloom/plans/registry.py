@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tagloom.plans import resolve, training
+from tagloom.plans import formats, planning, resolve, training
 
-_MODULES = [training, resolve]
+_MODULES = [training, resolve, formats, planning]
 
 
 def queries() -> dict:
