@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.session import cut
+
 #: Levels at which a tier begins; blocks below the next bound are grouped by the tile that holds them.
 TIERS = (0, 20, 40, 63)
 
@@ -126,25 +128,27 @@ def _merge_tiles(size: int):
 
 def merge_periods(intervals: DataFrame) -> DataFrame:
     """Boundary points (k, at, sign) of the union of intervals (k, s, e): sign 1 opens a period, -1 closes it."""
-    blocks = dyadic_blocks(intervals)
-    points, carried = None, None
+    blocks = cut(dyadic_blocks(intervals))
+    top = blocks.agg(F.max("lvl").alias("m")).first()["m"]  # one number
+    points = carried = None
     for lo, hi in zip(TIERS, TIERS[1:]):
         tier = blocks.where((F.col("lvl") >= lo) & (F.col("lvl") < hi)).select("k", "lvl", "idx")
         if carried is not None:
             tier = tier.unionByName(carried)
         tiles = tier.select("k", F.expr(f"shiftright(idx, {hi} - lvl)").alias("tile"), (F.col("lvl") - lo).alias("lvl"), F.expr(f"shiftleft(idx, lvl - {lo}) - shiftleft(shiftright(idx, {hi} - lvl), {hi - lo})").alias("off"))
-        if hi < TIERS[-1]:
+        if top is not None and top >= hi:
             above = blocks.where(F.col("lvl") >= hi).select("k", F.col("lvl").alias("al"), F.col("idx").alias("ai"))
-            ancestors = tiles.select("k", "tile").distinct().select("k", "tile", F.explode(F.expr(f"transform(sequence({hi}, 63), l -> named_struct('al', l, 'ai', shiftright(tile, l - {hi})))")).alias("a"))
+            ancestors = tiles.select("k", "tile").distinct().select("k", "tile", F.explode(F.expr(f"transform(sequence({hi}, {top}), l -> named_struct('al', l, 'ai', shiftright(tile, l - {hi})))")).alias("a"))
             covered = ancestors.select("k", "tile", "a.al", "a.ai").join(above, ["k", "al", "ai"], "left_semi").select("k", "tile").distinct()
             tiles = tiles.join(covered, ["k", "tile"], "left_anti")
-        runs = tiles.repartition("k", "tile").sortWithinPartitions("k", "tile").mapInArrow(_merge_tiles(hi - lo), "k long, tile long, lo long, hi long")
+        runs = cut(tiles.repartition("k", "tile").sortWithinPartitions("k", "tile").mapInArrow(_merge_tiles(hi - lo), "k long, tile long, lo long, hi long"))
         whole = (F.col("lo") == 0) & (F.col("hi") == 1 << (hi - lo))
-        if hi < TIERS[-1]:
-            carried = runs.where(whole).select("k", F.lit(hi).alias("lvl"), F.col("tile").alias("idx"))
-            runs = runs.where(~whole)
-        ends = runs.select("k", F.explode(F.array(*[F.struct(F.shiftleft(F.shiftleft(F.col("tile"), hi - lo) + F.col(c), lo).alias("at"), F.lit(sign).alias("sign")) for c, sign in (("lo", 1), ("hi", -1))])).alias("p")).select("k", "p.at", "p.sign")
+        part = runs if hi == TIERS[-1] else runs.where(~whole)
+        ends = part.select("k", F.explode(F.array(*[F.struct(F.shiftleft(F.shiftleft(F.col("tile"), hi - lo) + F.col(c), lo).alias("at"), F.lit(sign).alias("sign")) for c, sign in (("lo", 1), ("hi", -1))])).alias("p")).select("k", "p.at", "p.sign")
         points = ends if points is None else points.unionByName(ends)
+        carried = runs.where(whole).select("k", F.lit(hi).alias("lvl"), F.col("tile").alias("idx"))
+        if (top is None or top < hi) and not carried.head(1):
+            break
     # where one run ends and the next begins, the boundary cancels out
     return points.groupBy("k", "at").agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0")
 
@@ -156,7 +160,7 @@ def periods_and_gaps(chap: DataFrame) -> DataFrame:
     after the last period. Null files and files without a valid interval give no
     rows; repeated rows change nothing; an empty table gives an empty result.
     """
-    bounds = next_point(merge_periods(closed_intervals(chap)), "k", "at", "to_ms")
+    bounds = next_point(cut(merge_periods(closed_intervals(chap))), "k", "at", "to_ms")
     return bounds.where("to_ms IS NOT NULL").select(
         F.col("k").alias("file_id"), F.when(F.col("sign") > 0, "period").otherwise("gap").alias("kind"), F.col("at").alias("from_ms"), "to_ms"
     )
