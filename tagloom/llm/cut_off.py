@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tagloom.functions.textfold import plain_words
 from tagloom.llm.encoding import garbled_values, long_fields
 from tagloom.llm.plain import plain_text
+from tagloom.session import cut
 
 FIELDS = ["title", "album"]
 
@@ -71,7 +72,7 @@ def _normal(value: Column) -> tuple[Column, Column]:
 
 def cut_texts(texts: DataFrame) -> DataFrame:
     """Those of the distinct texts (norm, n) that were cut."""
-    grams = _grams(texts)
+    grams = cut(_grams(texts))
     two = grams.groupBy("b", "w").agg(*[F.sum(c).alias(c) for c in ("inside", "ends", "inside_n", "ends_n")])
     one = two.groupBy("w").agg(*[F.sum(c).alias(c) for c in ("inside", "ends", "inside_n", "ends_n")])
     named = lambda df, k: df.select(*[c for c in df.columns if c in ("a", "b", "x")], *[F.col(c).alias(f"{c}{k}") for c in ("i", "t", "l", "i_n", "t_n", "l_n")])
@@ -101,12 +102,12 @@ def cut_values(tags: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     text, bare = _normal(plain_text(F.coalesce("repaired", "value")))
     repaired = garbled_values(tags, fields).select("rec_id", "fieldname", "value", "repaired")
     read = long_fields(tags, fields).distinct().join(repaired, ["rec_id", "fieldname", "value"], "left")
-    values = read.select("rec_id", "fieldname", "value", text.alias("text"), bare.alias("bare")).where("bare <> ''")
+    values = cut(read.select("rec_id", "fieldname", "value", text.alias("text"), bare.alias("bare")).where("bare <> ''"))
     often = values.where("text <> bare").groupBy("text").agg(F.count("*").alias("n")).where(F.col("n") >= WHOLE)
     # a text that is often read with its mark keeps it
     marked = values.where("text <> bare").join(often, "text", "left").select("rec_id", "fieldname", "value", F.when(F.col("n").isNull(), F.col("bare")).otherwise(F.col("text")).alias("norm"))
     normal = values.where("text = bare").select("rec_id", "fieldname", "value", F.col("bare").alias("norm")).unionByName(marked)
-    texts = normal.groupBy("norm").agg(F.count("*").alias("n"))
+    texts = cut(normal.groupBy("norm").agg(F.count("*").alias("n")))
     return normal.join(cut_texts(texts), "norm", "left_semi").select("rec_id", "fieldname", "value").distinct()
 
 

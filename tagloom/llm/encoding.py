@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagloom.functions.textfold import BLANKS, INVISIBLE, LOOKALIKE_CYRILLIC, LOOKALIKE_GREEK
-from tagloom.session import small_rows
+from tagloom.session import cut, small_rows
 
 # Fixed values: (written in, read in).
 MULTIBYTE = ["utf-8", "shift_jis", "euc_jp", "euc_kr", "gbk", "big5"]
@@ -361,8 +361,8 @@ def garbled_values(tags: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     """
     values = long_fields(tags, fields).where(F.col("value").rlike(_POSSIBLE))
     found = tokens(values, "value")
-    distinct = found.groupBy("token").agg(F.count("*").alias("n"))
-    bad = garbled_tokens(distinct)
+    distinct = cut(found.groupBy("token").agg(F.count("*").alias("n")))
+    bad = cut(garbled_tokens(distinct))
     hits = found.join(bad, "token").groupBy("rec_id", "fieldname", "value").agg(F.collect_list(F.struct("token", "original")).alias("w"))
     known = F.map_from_entries(F.array_distinct(F.filter("w", lambda x: x["original"].isNotNull())))
     word = F.transform(F.split("value", SEPARATOR), lambda x: F.coalesce(F.try_element_at(known, x), F.when(F.try_element_at(known, bare(x)).isNotNull(), F.replace(x, bare(x), F.try_element_at(known, bare(x)))), x))
