@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tagloom.plans import formats, planning, resolve, training
+from tagloom.plans import decode, formats, planning, resolve, training
 
-_MODULES = [training, resolve, formats, planning]
+_MODULES = [training, resolve, formats, planning, decode]
 
 
 def queries() -> dict:
