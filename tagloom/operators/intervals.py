@@ -5,7 +5,10 @@ covers ``[i*2^k, (i+1)*2^k)``). Equal blocks collapse, blocks inside a larger
 block of the entity are removed, sibling pairs merge upward and what is left is
 coalesced. Work is grouped by (entity, tile) where a tile spans ``2^20`` units of
 the level below, so no group holds more than ``2^21`` blocks whatever share of
-the rows one entity has; full tiles move up to the next tier as one block.
+the rows one entity has. Only the ends of an interval are shuffled, at most one
+part in its first and one in its last tile, and decomposed where the tile is
+merged; the whole tiles between them, and tiles that fill up, are intervals of
+the next tier, whose unit is the tile.
 """
 
 from __future__ import annotations
@@ -67,14 +70,27 @@ def dyadic_blocks(intervals: DataFrame) -> DataFrame:
     )
 
 
+def _decompose(gid: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, level) of the canonical dyadic blocks of the parts [lo, hi) of tiles."""
+    starts, levels = [], []
+    base = gid << size
+    for at in range(size):
+        a, b = -((-lo) >> at), hi >> at
+        some = a < b
+        left, right = some & (a & 1 == 1), some & (b & 1 == 1)
+        starts += [base[left] + (a[left] << at), base[right] + ((b[right] - 1) << at)]
+        levels += [np.full(int(left.sum()), at), np.full(int(right.sum()), at)]
+    return np.concatenate(starts), np.concatenate(levels)
+
+
 def _merge_tiles(size: int):
-    """Arrow iterator function: rows sorted by (k, tile); blocks of one tile in, its maximal runs out."""
+    """Arrow iterator function: rows sorted by (k, tile); parts of one tile in, its maximal runs out."""
     full = 1 << size
 
-    def reduce(k: np.ndarray, tile: np.ndarray, lvl: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
+    def reduce(k: np.ndarray, tile: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
         new = np.concatenate(([True], (k[1:] != k[:-1]) | (tile[1:] != tile[:-1])))
         gid = np.cumsum(new) - 1
-        start = (gid << size) + off
+        start, lvl = _decompose(gid, lo, hi, size)
         order = np.lexsort((-lvl, start))
         start, lvl = start[order], lvl[order]
         end = start + (np.int64(1) << lvl)
@@ -128,27 +144,40 @@ def _merge_tiles(size: int):
 
 def merge_periods(intervals: DataFrame) -> DataFrame:
     """Boundary points (k, at, sign) of the union of intervals (k, s, e): sign 1 opens a period, -1 closes it."""
-    blocks = cut(dyadic_blocks(intervals))
-    top = blocks.agg(F.max("lvl").alias("m")).first()["m"]  # one number
-    points = carried = None
+    points, level = None, intervals.select("k", F.col("s").alias("a"), F.col("e").alias("b"))
     for lo, hi in zip(TIERS, TIERS[1:]):
-        tier = blocks.where((F.col("lvl") >= lo) & (F.col("lvl") < hi)).select("k", "lvl", "idx")
-        if carried is not None:
-            tier = tier.unionByName(carried)
-        tiles = tier.select("k", F.expr(f"shiftright(idx, {hi} - lvl)").alias("tile"), (F.col("lvl") - lo).alias("lvl"), F.expr(f"shiftleft(idx, lvl - {lo}) - shiftleft(shiftright(idx, {hi} - lvl), {hi - lo})").alias("off"))
-        if top is not None and top >= hi:
-            above = blocks.where(F.col("lvl") >= hi).select("k", F.col("lvl").alias("al"), F.col("idx").alias("ai"))
-            ancestors = tiles.select("k", "tile").distinct().select("k", "tile", F.explode(F.expr(f"transform(sequence({hi}, {top}), l -> named_struct('al', l, 'ai', shiftright(tile, l - {hi})))")).alias("a"))
-            covered = ancestors.select("k", "tile", "a.al", "a.ai").join(above, ["k", "al", "ai"], "left_semi").select("k", "tile").distinct()
-            tiles = tiles.join(covered, ["k", "tile"], "left_anti")
-        runs = cut(tiles.repartition("k", "tile").sortWithinPartitions("k", "tile").mapInArrow(_merge_tiles(hi - lo), "k long, tile long, lo long, hi long"))
-        whole = (F.col("lo") == 0) & (F.col("hi") == 1 << (hi - lo))
-        part = runs if hi == TIERS[-1] else runs.where(~whole)
-        ends = part.select("k", F.explode(F.array(*[F.struct(F.shiftleft(F.shiftleft(F.col("tile"), hi - lo) + F.col(c), lo).alias("at"), F.lit(sign).alias("sign")) for c, sign in (("lo", 1), ("hi", -1))])).alias("p")).select("k", "p.at", "p.sign")
+        w = hi - lo
+        level = cut(
+            level.select(
+                "k",
+                F.expr(
+                    f"""CASE WHEN shiftright(a, {w}) = shiftright(b - 1, {w}) THEN
+                        filter(array(named_struct('tile', shiftright(a, {w}), 'lo', a - shiftleft(shiftright(a, {w}), {w}), 'hi', b - shiftleft(shiftright(a, {w}), {w}))), p -> p.hi - p.lo < {1 << w})
+                    ELSE filter(array(named_struct('tile', shiftright(a, {w}), 'lo', a - shiftleft(shiftright(a, {w}), {w}), 'hi', {1 << w}L),
+                        named_struct('tile', shiftright(b, {w}), 'lo', 0L, 'hi', b - shiftleft(shiftright(b, {w}), {w}))), p -> p.hi > p.lo AND p.hi - p.lo < {1 << w}) END"""
+                ).alias("parts"),
+                F.expr(f"-shiftright(-a, {w})").alias("ma"),
+                F.expr(f"shiftright(b, {w})").alias("mb"),
+            )
+        )
+        parts = level.select("k", F.inline("parts")).distinct()
+        whole_tiles = level.where("ma < mb").select("k", F.col("ma").alias("s"), F.col("mb").alias("e")).distinct()
+        above = dyadic_blocks(whole_tiles)
+        top = above.agg(F.max("lvl").alias("m")).first()["m"]  # one number
+        if top is not None:
+            # parts inside a block of whole tiles add nothing
+            up = parts.select("k", "tile").distinct().select("k", "tile", F.explode(F.expr(f"transform(sequence(0, {top}), l -> named_struct('lvl', l, 'idx', shiftright(tile, l)))")).alias("u"))
+            covered = up.select("k", "tile", "u.lvl", "u.idx").join(above, ["k", "lvl", "idx"], "left_semi").select("k", "tile").distinct()
+            parts = parts.join(covered, ["k", "tile"], "left_anti")
+        runs = cut(parts.repartition("k", "tile").sortWithinPartitions("k", "tile").mapInArrow(_merge_tiles(w), "k long, tile long, lo long, hi long"))
+        filled = (F.col("lo") == 0) & (F.col("hi") == 1 << w)
+        part = runs if hi == TIERS[-1] else runs.where(~filled)
+        ends = part.select("k", F.explode(F.array(*[F.struct(F.shiftleft(F.shiftleft(F.col("tile"), w) + F.col(c), lo).alias("at"), F.lit(sign).alias("sign")) for c, sign in (("lo", 1), ("hi", -1))])).alias("p")).select("k", "p.at", "p.sign")
         points = ends if points is None else points.unionByName(ends)
-        carried = runs.where(whole).select("k", F.lit(hi).alias("lvl"), F.col("tile").alias("idx"))
-        if (top is None or top < hi) and not carried.head(1):
+        full = runs.where(filled).select("k", F.col("tile").alias("a"), (F.col("tile") + 1).alias("b"))
+        if top is None and not full.head(1):
             break
+        level = whole_tiles.select("k", F.col("s").alias("a"), F.col("e").alias("b")).unionByName(full)
     # where one run ends and the next begins, the boundary cancels out
     return points.groupBy("k", "at").agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0")
 
