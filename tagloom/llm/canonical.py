@@ -180,7 +180,8 @@ def mapped_values(tags: DataFrame, genres: DataFrame) -> DataFrame:
     def to_entry(s: pd.Series) -> pd.Series:
         if "m" not in state:
             state["m"] = Matcher(rows)
-        return s.map({v: state["m"].judge(v) for v in s.dropna().unique()}).astype("Int32")
+        known = {v: state["m"].judge(v) for v in s.dropna().unique()}
+        return pd.Series([known.get(v) for v in s], index=s.index, dtype="Int32")
 
     free = tags.select("rec_id", "genre").where(F.col("genre").isNotNull() & F.col("genre").rlike(r"(?U)[^\s\p{Cf}]"))
     if names:

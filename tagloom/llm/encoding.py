@@ -298,7 +298,10 @@ def judge(token: str, n: int, word: str, n_word: int, kind: str, known: dict[str
     # the token reads like a word: the original must be far more usual
     if len(token) < 3 or n_word and n_word < 3 * n or all(_script(c) == "EAST" for c in word) and not n_word:
         return 0
-    better = credible(word, known) - credible(token, known) if credible(word, known) > -math.inf else -math.inf
+    usual = credible(word, known)
+    if usual == -math.inf and n_word >= 5:
+        usual = 0.0  # an unusual word that the corpus holds often
+    better = usual - credible(token, known) if usual > -math.inf else -math.inf
     if _script(word[0]) in ("EAST", "HANGUL"):
         better = math.log(12) if n_word else -math.inf
     if n_word and (better > math.log(3) or n_word > 10 * n and better > 0):

@@ -150,7 +150,8 @@ def plain_form(text: str) -> str:
 
 @F.pandas_udf(T.StringType())
 def _plain(s: pd.Series) -> pd.Series:
-    return s.map({v: plain_form(v) for v in s.dropna().unique()})
+    known = {v: plain_form(v) for v in s.dropna().unique()}
+    return pd.Series([known.get(v) for v in s], index=s.index, dtype=object)
 
 
 def plain_text(text: Column) -> Column:
