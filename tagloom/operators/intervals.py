@@ -169,7 +169,9 @@ def merge_periods(intervals: DataFrame) -> DataFrame:
             up = parts.select("k", "tile").distinct().select("k", "tile", F.explode(F.expr(f"transform(sequence(0, {top}), l -> named_struct('lvl', l, 'idx', shiftright(tile, l)))")).alias("u"))
             covered = up.select("k", "tile", "u.lvl", "u.idx").join(above, ["k", "lvl", "idx"], "left_semi").select("k", "tile").distinct()
             parts = parts.join(covered, ["k", "tile"], "left_anti")
-        runs = cut(parts.repartition("k", "tile").sortWithinPartitions("k", "tile").mapInArrow(_merge_tiles(w), "k long, tile long, lo long, hi long"))
+        # partitioned by an expression of its own: on the join's own keys the planner would drop this exchange, and
+        # reading the join's exchange locally would then tear tiles apart
+        runs = cut(parts.repartition(F.xxhash64("k", "tile")).sortWithinPartitions("k", "tile").mapInArrow(_merge_tiles(w), "k long, tile long, lo long, hi long"))
         filled = (F.col("lo") == 0) & (F.col("hi") == 1 << w)
         part = runs if hi == TIERS[-1] else runs.where(~filled)
         ends = part.select("k", F.explode(F.array(*[F.struct(F.shiftleft(F.shiftleft(F.col("tile"), w) + F.col(c), lo).alias("at"), F.lit(sign).alias("sign")) for c, sign in (("lo", 1), ("hi", -1))])).alias("p")).select("k", "p.at", "p.sign")

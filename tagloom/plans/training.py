@@ -35,7 +35,7 @@ ORACLE = {
     "p3_found": """
         WITH c AS (SELECT file_id, start_ms AS s, end_ms AS e FROM chap WHERE file_id IS NOT NULL AND start_ms IS NOT NULL),
         st AS (SELECT file_id, s, lead(s) OVER (PARTITION BY file_id ORDER BY s) AS nx FROM (SELECT DISTINCT file_id, s FROM c)),
-        v AS (SELECT c.file_id, c.s, coalesce(c.e, st.nx) AS e FROM c JOIN st ON c.file_id = st.file_id AND c.s = st.s WHERE coalesce(c.e, st.nx) > c.s),
+        v AS (SELECT DISTINCT c.file_id, c.s, coalesce(c.e, st.nx) AS e FROM c JOIN st ON c.file_id = st.file_id AND c.s = st.s WHERE coalesce(c.e, st.nx) > c.s),
         m AS (SELECT *, max(e) OVER (PARTITION BY file_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM v),
         g AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS gi FROM m),
         p AS (SELECT file_id, min(s) AS a, max(e) AS b FROM g GROUP BY file_id, gi),

@@ -63,3 +63,18 @@ def test_empty_null_and_clashing_columns(spark):
     assert run(spark, [(1, None, None, None), (2, 5, None, None), (3, 7, 7, "")]) == set()
     df = spark.createDataFrame([Row(file_id=1, start_ms=0, end_ms=5, k=9, s=3, e=4, tile=2, lo=1, at=0)])
     assert [tuple(r) for r in periods_and_gaps(df).collect()] == [(1, "period", 0, 5)]
+
+
+def test_tiles_stay_whole_when_joins_change_at_run_time(spark):
+    """Joins planned as sort-merge that turn into broadcasts at run time must not tear tiles apart."""
+    rng = random.Random(8)
+    rows = [(f, s, s + rng.randrange(1, 400), "") for f in range(300) for s in (rng.randrange(0, 9000) for _ in range(12))]
+    rows += [(f, 0, 5 << 20, "") for f in range(3)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert run(spark, rows) == brute(rows)
+    finally:
+        for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.files.maxPartitionBytes"):
+            spark.conf.unset(c)
