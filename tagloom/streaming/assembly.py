@@ -16,12 +16,12 @@ _STATE = "loader string, chunk_nos array<int>, chunks array<binary>, last_no int
 _NAMES = [x.split()[0] for x in _OUT.split(", ")]
 
 
-def decode_stream(chunks: DataFrame, preset: str = "metadata_only", timeout_ms: int = 600_000) -> DataFrame:
+def decode_stream(chunks: DataFrame, preset: str = "metadata_only", timeout_ms: int | None = None) -> DataFrame:
     """Event rows of streams (stream_id, chunk_no, is_last, data, loader), appended when a stream is complete.
 
     Chunks may arrive in any order and more than once. A stream is complete when
-    all chunks up to the one marked last are there; after ``timeout_ms`` without
-    a chunk what has arrived is decoded. Only loaders that need no seek should
+    all chunks up to the one marked last are there; with ``timeout_ms`` set, what
+    has arrived is decoded after that time without a chunk. Only loaders that need no seek should
     be fed from live streams; the whole stream is held in state until then.
     """
     options = PRESETS[preset]
@@ -48,9 +48,10 @@ def decode_stream(chunks: DataFrame, preset: str = "metadata_only", timeout_ms:
             yield rows(int(key[0]), loader, parts)
         else:
             state.update((loader, sorted(parts), [parts[n] for n in sorted(parts)], last))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def watch_files(spark, path: str) -> DataFrame:
