@@ -8,11 +8,11 @@ and terms are weighed again by the areas of the sentences that hold them. A
 document has every area of at least two of its sentences (or of the whole of a
 shorter text).
 
-The classifier (formulas, leaves, term weights) is fitted on labelled documents,
-at most ``MAX_LABELLED`` of them, chosen by a hash of their id; every document is
-then read once and classified sentence by sentence. Only the term list travels
-with the tasks: terms must be frequent in the sample, so its size is bounded
-(``MAX_TERMS`` is checked).
+The classifier (formulas, leaves, term weights) is fitted on all documents, with
+or without labels: leaves give areas to terms that few labelled documents hold.
+Every document is then classified sentence by sentence. Only the term list travels
+with the tasks: terms must be frequent relative to the corpus, so its size is
+bounded (``MAX_TERMS`` is checked).
 """
 
 from __future__ import annotations
@@ -21,23 +21,23 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.session import cut, small_rows
 
-#: Labelled documents the classifier is fitted on.
-MAX_LABELLED = 8_000
 #: Terms must stand in so large a share of the documents, and in so many at least.
 MIN_SHARE, MIN_DOCS = 1 / 2500, 4
 #: Terms in a larger share say nothing.
 MAX_SHARE = 0.2
 MAX_TERMS = 400_000
+#: Terms a task counts at once before it hands them on.
+HELD = 500_000
 #: A sentence, digits aside, that stands in this share of the documents is a formula.
 FORMULA = 0.012
 LEAVES = 128
-SAMPLE_PARTS = 8
 #: Buckets of the hashed document vectors.
 FEATURES = 1 << 12
 #: Least share of the area of a term among labelled documents, and among leaves.
@@ -157,28 +157,35 @@ def _settle(score: dict[int, float], passed: bool, counts: Counter) -> None:
             counts[top] += 1
 
 
-def sentence_area(found: list[str], weights: dict[str, tuple[int, float]]) -> int:
-    """The area the terms of a sentence agree on, 0 for none."""
-    score: Counter = Counter()
-    for t in found:
-        if t in weights:
-            area, w = weights[t]
-            score[area] += w * w * (2 if " " in t else 1)
-    if not score:
-        return 0
-    (area, top), *rest = score.most_common(2)
-    return area if not rest or top > 1.5 * rest[0][1] else 0
+def _term_counts(docs: DataFrame, formulas: frozenset[str]) -> DataFrame:
+    """(term, df): documents with each term outside formulas."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        for b in batches:
+            for t in b.column(1).to_pylist():
+                n.update(set().union(*[terms(s) for s in sentences(t) if s not in formulas]))
+            if len(n) > HELD:
+                yield _counted(n, "term")
+                n = Counter()
+        yield _counted(n, "term")
+
+    return docs.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
-def _sentence_terms(docs: DataFrame, formulas: frozenset[str]) -> DataFrame:
-    """(id, sents): the terms of each sentence outside formulas."""
+
+def _counted(n: Counter, name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(n.keys()), pa.string()), pa.array(list(n.values()), pa.int64())], [name, "n"])
+
+
+def _sentence_terms(docs: DataFrame, formulas: frozenset[str], numbers: dict[str, int]) -> DataFrame:
+    """(id, sents): the numbers of the known terms of each sentence outside formulas."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [[list(terms(s)) for s in sentences(t) if s not in formulas] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.list_(pa.string())))], ["id", "sents"])
+            found = [[[numbers[x] for x in terms(s) if x in numbers] for s in sentences(t) if s not in formulas] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["id", "sents"])
 
-    return docs.mapInArrow(run, "id long, sents array<array<string>>")
+    return docs.mapInArrow(run, "id long, sents array<array<int>>")
 
 
 def _formulas(docs: DataFrame, n: int) -> frozenset[str]:
@@ -192,45 +199,53 @@ def _formulas(docs: DataFrame, n: int) -> frozenset[str]:
     return frozenset(r[0] for r in small_rows(counted.where(F.col("n") > max(8, FORMULA * n)).select("s"), MAX_TERMS))
 
 
-def _sentence_counts(stored: DataFrame, weights: dict) -> DataFrame:
+def _sentence_counts(stored: DataFrame, weights: dict[int, tuple[int, float]], known: list[str]) -> DataFrame:
     """(term, area, n, alone, some): sentences with the term by their area, where another sentence bears it out;
-    those whose area is alone in the document, and all that have one."""
+    those whose area is alone in the document, and all that have one. A sentence has the area its terms agree on, 0 for none."""
+    areas = [0, *sorted({a for a, _ in weights.values()})]
+    place = {a: i for i, a in enumerate(areas)}
+    area, score = np.zeros(len(known), np.int64), np.zeros(len(known))
+    for t, (a, w) in weights.items():
+        area[t], score[t] = place[a], w * w * (2 if " " in known[t] else 1)
+    k = len(areas)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
-        alone: Counter = Counter()
-        some: Counter = Counter()
+        n, alone = np.zeros(len(area) * k, np.int64), np.zeros(len(area), np.int64)
         for b in batches:
-            for found in b.column(1).to_pylist():
-                areas = [sentence_area(f, weights) for f in found]
-                per = Counter(areas)
-                if len(areas) < 4:
-                    continue  # too short to bear out the area of a sentence by others
-                for f, a in zip(found, areas):
-                    borne_out = a if per[a] > 1 else 0
-                    for t in f:
-                        n[t, borne_out] += 1
-                        if a and not borne_out:
-                            alone[t, 0] += 1
-                            some[t, 0] += 1
-                        elif a:
-                            some[t, a] += 1
-        keys = list(n)
+            sents = b.column(1).flatten()
+            size = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(size)), size)
+            term = sents.flatten().to_numpy(zero_copy_only=False)
+            sent = np.repeat(np.arange(len(sents)), sents.value_lengths().to_numpy(zero_copy_only=False))
+            by = np.bincount(sent * k + area[term], score[term], len(sents) * k).reshape(-1, k)
+            top = by.argmax(1) if len(by) else np.zeros(0, np.int64)
+            best = by.max(1, initial=0.0)
+            np.put_along_axis(by, top[:, None], 0.0, 1)
+            top[best <= 1.5 * by.max(1, initial=0.0)] = 0
+            per = np.bincount(doc * k + top, minlength=len(size) * k)
+            borne = np.where(per[doc * k + top] > 1, top, 0)
+            # too short to bear out the area of a sentence by others
+            counts = (size >= 4)[doc][sent]
+            n += np.bincount((term * k + borne[sent])[counts], minlength=len(n))
+            alone += np.bincount(term[counts & ((top > 0) & (borne == 0))[sent]], minlength=len(alone))
+        at = n.nonzero()[0]
+        t, a = at // k, at % k
+        only = np.where(a == 0, alone[t], 0)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([n[k] for k in keys], pa.int64()), pa.array([alone[k] for k in keys], pa.int64()), pa.array([some[k] for k in keys], pa.int64())], ["term", "area", "n", "alone", "some"]
+            [pa.array(t, pa.int32()), pa.array(np.array(areas)[a], pa.int32()), pa.array(n[at]), pa.array(only), pa.array(np.where(a == 0, only, n[at]))], ["term", "area", "n", "alone", "some"]
         )
 
-    return stored.mapInArrow(run, "term string, area int, n long, alone long, some long").groupBy("term", "area").agg(F.sum("n").alias("n"), F.sum("alone").alias("alone"), F.sum("some").alias("some"))
+    return stored.mapInArrow(run, "term int, area int, n long, alone long, some long").groupBy("term", "area").agg(F.sum("n").alias("n"), F.sum("alone").alias("alone"), F.sum("some").alias("some"))
 
 
 def _votes(labels: DataFrame) -> DataFrame:
-    """(doc_id, area_id, w): the labels of a document share one vote."""
-    share = F.lit(1.0) / F.count("*").over(_by("doc_id"))
-    return labels.select("doc_id", "area_id").where("doc_id IS NOT NULL AND area_id IS NOT NULL").distinct().select("doc_id", "area_id", share.alias("w"))
+    """(id, area_id, w): the labels of a document share one vote."""
+    share = F.lit(1.0) / F.count("*").over(_by("id"))
+    return labels.select(F.col("doc_id").cast("long").alias("id"), F.col("area_id").cast("int").alias("area_id")).where("id IS NOT NULL AND area_id IS NOT NULL").distinct().select("id", "area_id", share.alias("w"))
 
 
-def _leaf_terms(vectors: DataFrame, labels: DataFrame) -> DataFrame:
-    """(term, area, p): documents with the term, by the area mixture of their leaf."""
+def _leaf_terms(vectors: DataFrame, votes: DataFrame) -> DataFrame:
+    """(term, area, share): the area that the leaves of the documents with a term have most of, by their mixtures."""
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.feature import HashingTF, IDF, Normalizer
 
@@ -238,13 +253,30 @@ def _leaf_terms(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     weighed = IDF(inputCol="tf", outputCol="idf").fit(hashed).transform(hashed)
     unit = Normalizer(inputCol="idf", outputCol="features").transform(weighed).select("id", "terms", "features")
     model = BisectingKMeans(k=LEAVES, maxIter=5, seed=7, minDivisibleClusterSize=4.0).fit(unit.select("features"))
-    placed = cut(model.transform(unit).select("id", "terms", F.col("prediction").alias("leaf")))
-    votes = _votes(labels)
-    mix = placed.select("id", "leaf").join(votes, placed["id"] == votes["doc_id"]).groupBy("leaf", "area_id").agg(F.sum("w").alias("w"))
-    mix = mix.select("leaf", F.col("area_id").alias("area"), (F.col("w") / (F.sum("w").over(_by("leaf")) + 0.5)).alias("p"))
-    per_leaf = placed.select("leaf", F.explode("terms").alias("term")).groupBy("leaf", "term").agg(F.count("*").alias("n"))
-    # as many rows as leaves have areas
-    return per_leaf.join(F.broadcast(mix), "leaf").groupBy("term", "area").agg(F.sum(F.col("n") * F.col("p")).alias("p"))
+    placed = model.transform(unit).select("id", "terms", F.col("prediction").alias("leaf"))
+    voted = model.transform(unit.join(votes, "id")).groupBy(F.col("prediction").alias("leaf"), "area_id").agg(F.sum("w").alias("w")).collect()  # as many rows as leaves have areas
+    areas = sorted({r["area_id"] for r in voted}, reverse=True)
+    mix = np.zeros((LEAVES, len(areas)))
+    for r in voted:
+        mix[r["leaf"], areas.index(r["area_id"])] = r["w"]
+    mix /= mix.sum(1, keepdims=True) + 0.5
+
+    def per_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            leaf = np.repeat(b.column(1).to_numpy(zero_copy_only=False), b.column(0).value_lengths().to_numpy(zero_copy_only=False))
+            at, n = np.unique(b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64) * LEAVES + leaf, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at // LEAVES, pa.int32()), pa.array(at % LEAVES, pa.int32()), pa.array(n, pa.int64())], ["term", "leaf", "n"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term, leaf, n = [np.concatenate(c) for c in zip(*[[x.to_numpy(zero_copy_only=False) for x in b.columns] for b in batches])] or [np.zeros(0, np.int64)] * 3
+        known, at = np.unique(term, return_inverse=True)
+        counts = np.bincount(at * LEAVES + leaf, n, len(known) * LEAVES).reshape(-1, LEAVES)
+        p = counts @ mix
+        top = p.argmax(1) if len(known) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(known, pa.int32()), pa.array(np.array(areas)[top], pa.int32()), pa.array(p.max(1, initial=0.0) / counts.sum(1))], ["term", "area", "share"])
+
+    counted = placed.select("terms", "leaf").mapInArrow(per_leaf, "term int, leaf int, n long")
+    return counted.repartition("term").mapInArrow(best, "term int, area int, share double")
 
 
 def _by(*cols: str):
@@ -253,52 +285,42 @@ def _by(*cols: str):
     return Window.partitionBy(*cols)
 
 
-def learn_terms(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, tuple[int, float]], frozenset[str], frozenset[str]]:
-    """(term -> (area, weight), formulas, terms of passing mentions), from labelled documents (id, text)."""
+def learn_terms(docs: DataFrame, votes: DataFrame) -> tuple[dict[str, tuple[int, float]], frozenset[str], frozenset[str]]:
+    """(term -> (area, weight), formulas, terms of passing mentions), from all documents (id, text) and the votes (id, area_id, w) of some."""
     n = docs.count()
     if not n:
         return {}, frozenset(), frozenset()
     formulas = _formulas(docs, n)
-    found = cut(_sentence_terms(docs, formulas))
     least = max(MIN_DOCS, MIN_SHARE * n)
-    per_doc = found.select(F.explode(F.array_distinct(F.flatten("sents"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    frequent = cut(per_doc.where((F.col("df") >= least) & (F.col("df") <= max(MIN_DOCS, MAX_SHARE * n))))
-    kept = frozenset(r[0] for r in small_rows(frequent.select("term"), MAX_TERMS))
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            some = [[[t for t in s if t in kept] for s in x] for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(some, pa.list_(pa.list_(pa.string())))], ["id", "sents"])
-
-    stored = cut(found.mapInArrow(narrow, "id long, sents array<array<string>>"))
+    frequent = _term_counts(docs, formulas).where((F.col("df") >= least) & (F.col("df") <= max(MIN_DOCS, MAX_SHARE * n)))
+    known = sorted(r[0] for r in small_rows(frequent.select("term"), MAX_TERMS))
+    stored = cut(_sentence_terms(docs, formulas, {t: i for i, t in enumerate(known)}))
     vectors = stored.select("id", F.array_distinct(F.flatten("sents")).alias("terms")).where(F.size("terms") > 0)
-    if not vectors.head(1) or not labels.head(1):
+    labelled = cut(vectors.join(votes, "id"))
+    if not labelled.head(1):
         return {}, formulas, frozenset()
-    per_term = _leaf_terms(vectors, labels)
-    df = frequent
-    top = per_term.groupBy("term").agg(F.max_by("area", F.struct("p", "area")).alias("area"), F.max("p").alias("top")).join(df, "term").withColumn("share", F.col("top") / F.col("df"))
+    by_leaf = {r["term"]: (r["area"], r["share"]) for r in _leaf_terms(vectors, votes).collect()}  # a row for each known term
     # where enough labelled documents hold a term, they decide, with a margin for chance; else the leaves do
-    votes = _votes(labels)
-    labelled = vectors.join(votes, vectors["id"] == votes["doc_id"]).select("doc_id", "area_id", "w", F.explode("terms").alias("term"))
-    by_label = labelled.groupBy("term", "area_id").agg(F.sum("w").alias("w")).groupBy("term").agg(F.max_by("area_id", F.struct("w", "area_id")).alias("l_area"), F.max("w").alias("l_top"), F.sum("w").alias("l_all"))
-    both = top.join(by_label, "term", "full").select("term", "area", "share", "l_area", "l_all", ((F.col("l_top") - 1) / (F.col("l_all") + 1)).alias("l_share"))
-    decided = both.select(
-        "term",
-        F.when(F.col("l_share") >= LABELLED, F.col("l_area")).when(F.coalesce("l_all", F.lit(0.0)) < 4, F.when(F.col("share") >= LEAF, F.col("area"))).alias("area"),
-        F.greatest(F.coalesce("l_share", F.lit(0.0)), F.coalesce("share", F.lit(0.0))).alias("share"),
-    )
-    weights = {r["term"]: (r["area"], r["share"]) for r in decided.where("area IS NOT NULL").collect()}
-
-    passing: frozenset[str] = frozenset()
+    by_label = labelled.select("area_id", "w", F.explode("terms").alias("term")).groupBy("term", "area_id").agg(F.sum("w").alias("w")).groupBy("term").agg(F.max_by("area_id", F.struct("w", "area_id")).alias("area"), F.max("w").alias("top"), F.sum("w").alias("all"))
+    labels_of = {r["term"]: (r["area"], (r["top"] - 1) / (r["all"] + 1), r["all"]) for r in by_label.collect()}
+    weights: dict[int, tuple[int, float]] = {}
+    for t, (area, share) in by_leaf.items():
+        l_area, l_share, l_all = labels_of.get(t, (0, 0.0, 0.0))
+        if l_share >= LABELLED:
+            weights[t] = l_area, max(l_share, share)
+        elif l_all < 4 and share >= LEAF:
+            weights[t] = area, share
+
+    passing: frozenset[int] = frozenset()
     for least_share in ROUNDS:
-        counts = cut(_sentence_counts(stored, weights))
+        counts = cut(_sentence_counts(stored, weights, known))
         total = counts.groupBy("term").agg(F.sum("n").alias("all"), F.sum("alone").alias("alone"), F.sum("some").alias("some"))
         best = counts.where("area > 0").groupBy("term").agg(F.max_by("area", F.struct("n", "area")).alias("area"), F.max("n").alias("n")).join(total, "term").withColumn("share", F.col("n") / F.col("all"))
         rows = best.where((F.col("share") >= least_share) & (F.col("n") >= max(3, least / 2))).select("term", "area", "share").collect()
         alone = total.where((F.col("some") >= max(5, least)) & (F.col("alone") >= PASSING * F.col("some"))).select("term").collect()
         weights = {r["term"]: (r["area"], r["share"]) for r in rows}
         passing = frozenset(r[0] for r in alone) - weights.keys()
-    return weights, formulas, passing
+    return {known[t]: w for t, w in weights.items()}, formulas, frozenset(known[t] for t in passing)
 
 
 def document_areas(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,9 +330,7 @@ def document_areas(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     without labels or documents the result is empty; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(r"\w|[^\x00-\x7f]"))
-    chosen = labelled_ids(labels)
-    sample = cut(rows.join(F.broadcast(chosen), "id", "left_semi").repartition(SAMPLE_PARTS))  # at most MAX_LABELLED ids
-    weights, formulas, passing = learn_terms(sample, labels)
+    weights, formulas, passing = learn_terms(rows, _votes(labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(weights, passing, formulas)
@@ -323,12 +343,6 @@ def document_areas(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return rows.mapInArrow(run, "id long, area_id int").distinct().withColumnRenamed("id", id_col)
 
 
-def labelled_ids(labels: DataFrame) -> DataFrame:
-    """(id): labelled documents, at most MAX_LABELLED; beyond that the ones with the smallest hash."""
-    ids = labels.where("doc_id IS NOT NULL AND area_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id")).distinct()
-    return ids.orderBy(F.xxhash64("id")).limit(MAX_LABELLED)
-
-
 def corpus_makeup(assigned: DataFrame, areas: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(area_id, area_name, n_docs, share): documents of each area of the list; a document with several counts for each."""
     total = assigned.agg(F.countDistinct(id_col).alias("docs"))

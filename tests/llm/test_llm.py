@@ -194,3 +194,24 @@ def test_subjects(spark):
     assert subjects.document_areas(d.limit(0), lab).count() == 0
     made = subjects.corpus_makeup(subjects.document_areas(d, lab), spark.createDataFrame([(1, "a"), (9, "z")], "area_id int, area_name string"))
     assert {r["area_id"]: r["n_docs"] > 0 for r in made.collect()} == {1: True, 9: False}
+
+
+def test_subjects_of_words_without_labels(spark, monkeypatch):
+    """Words that no labelled document holds get their area from the leaves they share with labelled ones."""
+    monkeypatch.setattr(subjects, "LEAVES", 12)  # as many documents in a leaf as in a large table
+    rng = random.Random(5)
+    words = {1: ["fugue", "cadence", "bass line", "choir", "score sheet", "aria", "tempo"], 2: ["insulin", "vaccine", "fracture", "scan", "dosage", "clinic", "suture"], 3: ["plaintiff", "verdict", "statute", "jury box", "appeal", "bail", "felony"]}
+    new = {1: ["sonata", "motif"], 2: ["tincture", "ointment"], 3: ["subpoena", "tort"]}
+    line = lambda w: f"{''.join(rng.choice('qzxw') for _ in range(5))} about the {w} {''.join(rng.choice('kjvy') for _ in range(5))}."
+    docs, labels = [], []
+    for i in range(300):
+        a = i % 3 + 1
+        known = [line(w) for w in rng.sample(words[a], 4)]
+        docs.append((i, "\n".join(known if i < 150 else [*known, line(rng.choice(new[a]))])))
+        labels += [(i, a)] if i < 150 else []
+    docs += [(900 + a, "\n".join(line(w) for w in new[a] * 2)) for a in new]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, area_id int")
+    got = {(r["doc_id"], r["area_id"]) for r in subjects.document_areas(d, lab).where("doc_id >= 900").collect()}
+    # no wrong area; a leaf may hold too few labels for one
+    assert got <= {(900 + a, a) for a in new} and len(got) >= 2
