@@ -10,6 +10,7 @@ shorter text).
 
 The classifier (formulas, leaves, term weights) is fitted on all documents, with
 or without labels: leaves give areas to terms that few labelled documents hold.
+Copies of a text count once, so a text that is often reposted is no formula.
 Every document is then classified sentence by sentence. Only the term list travels
 with the tasks: terms must be frequent relative to the corpus, so its size is
 bounded (``MAX_TERMS`` is checked).
@@ -285,8 +286,27 @@ def _by(*cols: str):
     return Window.partitionBy(*cols)
 
 
+def _distinct_texts(rows: DataFrame) -> DataFrame:
+    """(id, text): each text once, whatever its copies; the id is the hash of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            new = [i for i, h in enumerate(b.column(0).to_pylist()) if not (h in seen or seen.add(h))]
+            yield b.take(pa.array(new, pa.int64()))
+
+    return rows.select(F.xxhash64("text").alias("id"), "text").repartition("id").mapInArrow(run, "id long, text string")
+
+
+def _text_votes(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, area_id, w): votes of the labelled copies of a text; they share one vote."""
+    copies = rows.select("id", F.xxhash64("text").alias("text")).distinct()
+    of_text = copies.join(_votes(labels), "id").groupBy("text", "area_id").agg(F.sum("w").alias("w"))
+    return of_text.select(F.col("text").alias("id"), "area_id", (F.col("w") / F.sum("w").over(_by("text"))).alias("w"))
+
+
 def learn_terms(docs: DataFrame, votes: DataFrame) -> tuple[dict[str, tuple[int, float]], frozenset[str], frozenset[str]]:
-    """(term -> (area, weight), formulas, terms of passing mentions), from all documents (id, text) and the votes (id, area_id, w) of some."""
+    """(term -> (area, weight), formulas, terms of passing mentions), from all distinct texts (id, text) and the votes (id, area_id, w) of some."""
     n = docs.count()
     if not n:
         return {}, frozenset(), frozenset()
@@ -330,7 +350,7 @@ def document_areas(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     without labels or documents the result is empty; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(r"\w|[^\x00-\x7f]"))
-    weights, formulas, passing = learn_terms(rows, _votes(labels))
+    weights, formulas, passing = learn_terms(cut(_distinct_texts(rows)), cut(_text_votes(rows, labels)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(weights, passing, formulas)

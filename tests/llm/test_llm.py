@@ -196,6 +196,22 @@ def test_subjects(spark):
     assert {r["area_id"]: r["n_docs"] > 0 for r in made.collect()} == {1: True, 9: False}
 
 
+def test_subjects_of_reposts(spark):
+    """A text that many rows repeat is no formula, and its terms are not too frequent."""
+    words = {1: ["fugue", "cadence", "bass line", "choir", "score sheet"], 2: ["insulin", "vaccine", "fracture", "scan", "dosage"], 3: ["plaintiff", "verdict", "statute", "jury box", "appeal"]}
+    rng = random.Random(3)
+    line = lambda w: f"{''.join(rng.choice('qzxw') for _ in range(5))} about the {w} {''.join(rng.choice('kjvy') for _ in range(5))}."
+    docs = [(i, "\n".join(line(w) for w in rng.sample(words[i % 3 + 1], 3) * 2)) for i in range(150)]
+    labels = [(i, i % 3 + 1) for i in range(150)]
+    post = "\n".join(line(w) for w in words[2])
+    docs += [(1000 + i, post) for i in range(150)]
+    labels += [(1000 + i, 2) for i in range(150)]
+    got = subjects.document_areas(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, area_id int"))
+    by = {(r["doc_id"], r["area_id"]) for r in got.collect()}
+    assert {(1000 + i, 2) for i in range(150)} == {x for x in by if x[0] >= 1000}
+    assert sum((i, a) in by for i, a in labels if i < 150) >= 120
+
+
 def test_subjects_of_words_without_labels(spark, monkeypatch):
     """Words that no labelled document holds get their area from the leaves they share with labelled ones."""
     monkeypatch.setattr(subjects, "LEAVES", 12)  # as many documents in a leaf as in a large table
