@@ -32,6 +32,8 @@ RARELY = 20
 WHOLE = 3
 #: Longer tokens are no words; they form no prefixes.
 WORD = 100
+#: A mark that so many sources read at the same place belongs to the text, unless a word is broken off before it.
+SOURCES = 2
 #: Marks of a cut.
 MARK = r"\s*(?:\.{2,}|…)$"
 _EAST = r"[぀-ヿ㐀-鿿]"
@@ -71,7 +73,7 @@ def _normal(value: Column) -> tuple[Column, Column]:
 
 
 def cut_texts(texts: DataFrame) -> DataFrame:
-    """Those of the distinct texts (norm, n) that were cut."""
+    """(norm, broken): those of the distinct texts (norm, n) that were cut; whether inside a word or a bracket."""
     grams = cut(_grams(texts))
     two = grams.groupBy("b", "w").agg(*[F.sum(c).alias(c) for c in ("inside", "ends", "inside_n", "ends_n")])
     one = two.groupBy("w").agg(*[F.sum(c).alias(c) for c in ("inside", "ends", "inside_n", "ends_n")])
@@ -88,32 +90,33 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     sure_fragment = fragment & ((F.col("l0") >= BEGINS * F.col("t0")) | (F.col("l_n2") >= 5 * F.col("t_n2")))
     nowhere = (F.col("i1") + F.col("l1") == 0) & (F.col("i_n2") + F.col("l_n2") == 0)
     whole = (F.col("t_n2") >= WHOLE) & nowhere
-    return known.where((sure_fragment | inner | opened) & ~whole).select("norm")
+    return known.where((sure_fragment | inner | opened) & ~whole).select("norm", (sure_fragment | opened).alias("broken"))
 
 
-def cut_values(tags: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
+def cut_values(tags: DataFrame, fields: list[str] = FIELDS, source: str = "feed") -> DataFrame:
     """(rec_id, fieldname, value): values that stop inside a word or phrase.
 
     Words whose encoding is wrong count as the words that were meant, and widths
     and look-alike letters don't matter. Null, empty and blank values are none; repeated rows give their case once; an
     empty table gives an empty result. A marked value counts when the text
-    before the mark was cut, unless it is often read with the mark.
+    before the mark was cut, however often it is read; where several sources read
+    the mark, it counts only when a word or bracket is broken off before it.
     """
     text, bare = _normal(plain_text(F.coalesce("repaired", "value")))
     repaired = garbled_values(tags, fields).select("rec_id", "fieldname", "value", "repaired")
     read = long_fields(tags, fields).distinct().join(repaired, ["rec_id", "fieldname", "value"], "left")
     values = cut(read.select("rec_id", "fieldname", "value", text.alias("text"), bare.alias("bare")).where("bare <> ''"))
-    often = values.where("text <> bare").groupBy("text").agg(F.count("*").alias("n")).where(F.col("n") >= WHOLE)
-    # a text that is often read with its mark keeps it
-    marked = values.where("text <> bare").join(often, "text", "left").select("rec_id", "fieldname", "value", F.when(F.col("n").isNull(), F.col("bare")).otherwise(F.col("text")).alias("norm"))
-    normal = values.where("text = bare").select("rec_id", "fieldname", "value", F.col("bare").alias("norm")).unionByName(marked)
-    texts = cut(normal.groupBy("norm").agg(F.count("*").alias("n")))
-    return normal.join(cut_texts(texts), "norm", "left_semi").select("rec_id", "fieldname", "value").distinct()
+    # a field limit is one source's; a title that ends so is marked in several
+    sources = tags.select("rec_id", F.struct(source).alias("source")).distinct()
+    marked = values.where("text <> bare").join(sources, "rec_id").groupBy("text").agg(F.countDistinct("source").alias("k")).where(F.col("k") >= SOURCES).select("text", F.lit(True).alias("own"))
+    texts = cut(values.groupBy(F.col("bare").alias("norm")).agg(F.count("*").alias("n")))
+    cases = values.join(cut_texts(texts), values["bare"] == F.col("norm")).join(marked, "text", "left")
+    return cases.where(F.col("broken") | F.col("own").isNull()).select("rec_id", "fieldname", "value").distinct()
 
 
 def cut_rates(tags: DataFrame, fields: list[str] = FIELDS, source: str = "feed") -> DataFrame:
     """(source, fieldname, n_values, n_cut, share): how often each source cuts; a null source is a source."""
-    cases = cut_values(tags, fields).select("rec_id", "fieldname").distinct().withColumn("cut", F.lit(1))
+    cases = cut_values(tags, fields, source).select("rec_id", "fieldname").distinct().withColumn("cut", F.lit(1))
     structs = [F.struct(F.lit(f).alias("fieldname"), F.col(f).alias("value")) for f in fields]
     each = tags.select("rec_id", source, F.inline(F.array(*structs))).where("trim(value) <> ''")
     counted = each.join(cases, ["rec_id", "fieldname"], "left").groupBy(source, "fieldname").agg(F.count("*").alias("n_values"), F.count("cut").alias("n_cut"))

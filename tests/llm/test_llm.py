@@ -171,6 +171,16 @@ def test_cut_values(spark):
     assert cut_off.cut_values(df.limit(0)).count() == 0
 
 
+def test_marked_cut_read_often(spark):
+    """A marked cut counts however often it is read; a title that several feeds mark is whole."""
+    whole = ["The Lantern of the Bridge", "The Bridge of Sighs", "The Harbour of the Bridge and Others"] * 4 + [f"Waiting for Night {i}" for i in range(30)]
+    rows = [(i, t, None, "a") for i, t in enumerate(whole)]
+    rows += [(500 + i, "The Harbour of the Brid...", None, "b") for i in range(6)] + [(600 + i, "The Lantern of the Bri\u2026", None, "ab"[i % 2]) for i in range(6)]
+    rows += [(700 + i, "Waiting...", None, "ab"[i % 2]) for i in range(6)]
+    df = spark.createDataFrame(rows, "rec_id long, title string, album string, feed string").withColumn("artist", F.lit(None).cast("string"))
+    assert {r["rec_id"] for r in cut_off.cut_values(df).collect()} == {*range(500, 506), *range(600, 606)}
+
+
 def test_subjects(spark):
     rng = random.Random(11)
     words = {1: ["fugue", "cadence", "bass line", "choir", "score sheet"], 2: ["insulin", "vaccine", "fracture", "scan", "dosage"], 3: ["plaintiff", "verdict", "statute", "jury box", "appeal"]}
