@@ -3,6 +3,10 @@
 ``spark.read.format("audio").option("path", folder)`` gives event rows of local
 (or mounted) files. Options: ``preset`` (all, minimal, metadata_only), ``mode``
 (PERMISSIVE, FAILFAST), ``strategy`` (auto, full, header), ``maxBytes``.
+
+``auto`` reads whole files, as ``full`` does: tags may stand behind the audio data,
+and durations and bit rates come from the end or the size of a file. ``header``
+decodes the first 256 KiB as if they were the whole file, and loses both.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tagloom import catalog
-from tagloom.operators.strategy import CATEGORIES, HEAD, SMALL_FILE
+from tagloom.operators.strategy import HEAD
 from tagloom.sources.audio import decode_bytes
 from tagloom.sources.decode.events import PRESETS
 
@@ -41,11 +45,10 @@ class AudioReader(DataSourceReader):
         found = sorted(os.path.join(d, f) for d, _, files in os.walk(self.root) for f in files) if os.path.isdir(self.root) else [self.root]
         return [Group(tuple(found[i : i + GROUP])) for i in range(0, len(found), GROUP)] or [Group(())]
 
-    def fetch(self, path: str, size: int, ext: str) -> bytes:
-        """The bytes a strategy reads: the head only for large files of formats that keep their metadata there."""
-        head_only = self.strategy == "header" or self.strategy == "auto" and size > SMALL_FILE and ext in CATEGORIES["header-only"][0].split()
+    def fetch(self, path: str) -> bytes:
+        """The bytes a strategy reads: the head only where that is asked for."""
         with open(path, "rb") as f:
-            return f.read(HEAD) if head_only else f.read()
+            return f.read(HEAD) if self.strategy == "header" else f.read()
 
     def read(self, partition: Group) -> Iterator[tuple]:
         loaders = {key: loader for kind, key, loader, _, _ in catalog.loader_rows() if kind == "ext"}
@@ -55,7 +58,7 @@ class AudioReader(DataSourceReader):
                 continue
             ext = path.rpartition(".")[2].lower()
             loader = loaders.get(ext)
-            for row in decode_bytes(self.fetch(path, size, ext), loader, self.options):
+            for row in decode_bytes(self.fetch(path), loader, self.options):
                 if self.fail and row[1] == "error":
                     raise ValueError(f"{path}: {row[4]}")
                 yield (path, size, loader, *row)

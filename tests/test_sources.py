@@ -45,6 +45,25 @@ def test_data_source(spark, folder):
     assert df.where("kind = 'error'").count() == 2
 
 
+def test_data_source_reads_large_files_to_the_end(spark, tmp_path):
+    """Tags behind the audio data and durations of files over 5 MiB, with the default strategy."""
+    import struct
+
+    data = bytes(6 << 20)
+    body = B.chunk(b"fmt ", struct.pack("<HHIIHH", 1, 2, 44100, 176400, 4, 16)) + B.chunk(b"data", data) + B.chunk(b"LIST", b"INFO" + B.chunk(b"INAM", b"Late"))
+    (tmp_path / "a.wav").write_bytes(b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WAVE" + body)
+    short = B.vorbis(["TITLE=Long"])
+    pages = short[: short.rindex(b"OggS")] + b"".join(B.ogg_page(1, 4 * (g == 100), g * 441000, [bytes(60000)]) for g in range(1, 101))
+    (tmp_path / "b.ogg").write_bytes(pages)
+    assert len(pages) > 5 << 20
+    remote.register(spark)
+    rows = spark.read.format("audio").option("path", str(tmp_path)).option("preset", "all").load().collect()
+    assert [r["v_str"] for r in rows if r["kind"] == "tag" and r["tag_id"] == "INAM"] == ["Late"]
+    last = {r["path"].rpartition("/")[2]: r["v_dbl"] for r in rows if r["kind"] == "format" and r["tag_id"] == "duration"}
+    assert last["a.wav"] == len(data) // 4 / 44100
+    assert last["b.ogg"] == 1000.0
+
+
 def test_stream_of_chunks(spark, tmp_path):
     from tagloom.streaming.assembly import decode_stream
 
