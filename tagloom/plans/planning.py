@@ -110,11 +110,12 @@ def vorbis_chapters(spark, d):
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("file_id").orderBy("start_ms"))
-    c = c.withColumn("n", n).where("n < 1000")
+    c = c.withColumn("n", n)
     t = _c("start_ms")
-    stamp = F.concat(F.lpad(F.floor(t / 3600000).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.floor(t / 60000) % 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.floor(t / 1000) % 60).cast("string"), 2, "0"), F.lit("."), F.lpad((t % 1000).cast("string"), 3, "0"))
-    name = F.concat(F.lit("CHAPTER"), F.lpad(_c("n").cast("string"), 3, "0"))
-    rows = c.where(F.floor(t / 3600000) < 100).select("file_id", F.inline(F.array(F.struct(name.alias("k"), stamp.alias("v")), F.struct(F.concat(name, F.lit("NAME")).alias("k"), _c("title").alias("v")))))
+    wide = lambda x, least: F.lpad(x.cast("string"), F.greatest(F.length(x.cast("string")), F.lit(least)), F.lit("0"))
+    stamp = F.concat(wide(F.floor(t / 3600000), 2), F.lit(":"), F.lpad((F.floor(t / 60000) % 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.floor(t / 1000) % 60).cast("string"), 2, "0"), F.lit("."), F.lpad((t % 1000).cast("string"), 3, "0"))
+    name = F.concat(F.lit("CHAPTER"), wide(_c("n"), 3))
+    rows = c.select("file_id", F.inline(F.array(F.struct(name.alias("k"), stamp.alias("v")), F.struct(F.concat(name, F.lit("NAME")).alias("k"), _c("title").alias("v")))))
     return C.vorbis_chapters(rows, "file_id", "k", "v")
 
 

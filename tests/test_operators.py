@@ -103,3 +103,14 @@ def test_chapter_helpers(spark):
     assert C.chapter_ends(c.limit(0)).count() == 0
     t = spark.sql("SELECT 1").select(C.time_base(F.lit(4410000.0), F.lit(100.2)), C.time_base(F.lit(0.0), F.lit(5.0)), C.clamp_end(F.lit(5), F.lit(3), F.lit(9))).collect()[0]
     assert tuple(t) == (44100, None, 9)
+
+
+def test_vorbis_chapters_of_long_files(spark, tmp_path):
+    """More than 999 chapters, and starts from 100 hours on."""
+    from tagloom.plans import planning
+
+    starts = [(1, 1000 * i, f"t{i}") for i in range(1200)] + [(1, 360_000_000, "late"), (1, 4_000_000_000, "later")]
+    spark.createDataFrame(starts, "file_id long, start_ms long, title string").write.parquet(str(tmp_path / "chap.parquet"))
+    got = sorted((r["n"], r["start_ms"], r["title"], r["end_ms"]) for r in planning.vorbis_chapters(spark, str(tmp_path)).collect())
+    ends = [s[1] for s in starts[1:]] + [None]
+    assert got == [(i + 1, s[1], s[2], e) for i, (s, e) in enumerate(zip(starts, ends))]
