@@ -4,7 +4,8 @@ Method: word trigrams inside texts against trigrams at their ends, in pure SQL (
 A text whose final trigram goes on in many other texts but hardly ever ends one
 was cut. A cut inside a word leaves a fragment, so a trigram also counts as
 going on where its last word is the beginning of a longer one. Rare trigrams fall
-back to the last two words and the last word.
+back to the last two words and the last word. Values whose last word has a kana or
+CJK character are no fragments: cuts in these scripts are not found.
 
 Counts run over all texts. They are taken per distinct trigram before prefixes
 are formed, so frequent texts and words are gone before anything is multiplied.
