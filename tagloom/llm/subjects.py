@@ -1,25 +1,25 @@
 """Subject areas of each document, and the make-up of the corpus by area.
 
-Method: normalised document vectors are clustered by bisecting k-means. A leaf
-has a mixture of areas, taken from the labelled documents in it; the terms that
-are discriminative for leaves of one area get that area. The mixture is then
-sharpened on the level of sentences: a sentence has the area its terms agree on,
-and terms are weighed again by the areas of the sentences that hold them. A
-document has every area of at least two of its sentences (or of the whole of a
-shorter text).
-
-The classifier (formulas, leaves, term weights) is fitted on all documents, with
-or without labels: leaves give areas to terms that few labelled documents hold.
-Copies of a text count once, so a text that is often reposted is no formula.
-Every document is then classified sentence by sentence. Only the term list travels
-with the tasks: terms must be frequent relative to the corpus, so its size is
-bounded (``MAX_TERMS`` is checked).
+Method: normalised document vectors are clustered by bisecting k-means. A vector
+sums what the terms of a document say about areas, by the labelled documents that
+hold them, so documents of one subject are near in any language. The tree is
+fitted on at most ``FIT`` labelled documents; then every document of the corpus,
+labelled or not, is put into its leaf. A leaf has a mixture of areas, that of the labelled
+documents in it. A term is discriminative when the mixtures of the leaves that
+hold it agree on an area; such terms label the leaves and carry their area. Only
+leaves give terms an area, also terms that no labelled document holds. The mixture
+is then resolved per sentence: a sentence has the area its terms agree on, terms
+are weighed again by the areas of the sentences that hold them, and a document has
+every area of at least two of its sentences (or of the whole of a shorter text).
+
+Counts, leaves and weights cover all documents; copies of a text count once, so a
+text that is often reposted is no formula. Only the term list travels with the
+tasks: terms must be frequent relative to the corpus, so its size is bounded
+(``MAX_TERMS`` is checked).
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,320 +27,292 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.session import cut, small_rows
+from tagloom.llm import wordhash
+from tagloom.session import cut, small_rows, stored
 
 #: Terms must stand in so large a share of the documents, and in so many at least.
 MIN_SHARE, MIN_DOCS = 1 / 2500, 4
 #: Terms in a larger share say nothing.
 MAX_SHARE = 0.2
 MAX_TERMS = 400_000
-#: Terms a task counts at once before it hands them on.
-HELD = 500_000
-#: A sentence, digits aside, that stands in this share of the documents is a formula.
+#: A sentence, digits and marks aside, that stands in this share of the documents is a formula.
 FORMULA = 0.012
-LEAVES = 128
-#: Buckets of the hashed document vectors.
-FEATURES = 1 << 12
-#: Least share of the area of a term among labelled documents, and among leaves.
-LABELLED, LEAF = 0.45, 0.55
+#: Leaves of the tree, and passes per division.
+LEAVES, PASSES = 64, 8
+#: The tree is fitted on at most so many labelled documents.
+FIT = 8_000
+#: Least share of an area among the labelled documents of a term that counts in a document vector.
+VOTED = 0.45
+#: Least share of its leaves' mixtures that the area of a term has.
+LEAF = 0.48
 #: Rounds of weighing terms by sentences; the least share of a term's area in a round.
 ROUNDS = (0.65, 0.8)
 #: A text of so many sentences, formulas aside, may have its area from one of them.
 SHORT = 3
 #: A sentence pattern is a passing mention where its area is alone in the document in this share of cases.
 PASSING = 0.6
+#: Areas of the subject list; they are a dimension.
+MAX_AREAS = 10_000
 
-_SPLIT = re.compile(r"[\r\n]+|(?<=[.!?…])[\"”»)]*\s+|(?<=[。！？])")
-_EAST = re.compile(r"[぀-ヿ㐀-鿿]")
-_WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
+def _by(*cols: str):
+    from pyspark.sql import Window
 
-_DIGITS, _ANY = re.compile(r"\d+"), re.compile(r"\w")
+    return Window.partitionBy(*cols)
 
 
-def sentences(text: str | None) -> list[str]:
-    """Sentences and lines with at least one letter or digit, lower case, digits as 0."""
-    return [s.strip() for s in _SPLIT.split(_DIGITS.sub("0", (text or "").lower())) if s and _ANY.search(s)]
+def _distinct_texts(rows: DataFrame) -> DataFrame:
+    """(id, text): each text once, whatever its copies; the id is the hash of the text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            if b.num_rows:
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                new = np.append(last is None or ids[0] != last, ids[1:] != ids[:-1])
+                last = ids[-1]
+                yield b.filter(pa.array(new))
 
-def terms(sentence: str) -> set[str]:
-    """Words and pairs of neighbouring words; of scripts without blanks, runs of two to four characters."""
-    found: set[str] = set()
-    words = _WORD.findall(sentence)
-    for i, w in enumerate(words):
-        if _EAST.search(w):
-            found.update(w[k : k + n] for n in (2, 3, 4) for k in range(len(w) - n + 1))
-        elif len(w) <= 60:
-            found.add(w)
-            if i + 1 < len(words) and len(words[i + 1]) <= 60 and not _EAST.search(words[i + 1]):
-                found.add(f"{w} {words[i + 1]}")
-    return found
+    hashed = rows.select(F.xxhash64("text").alias("id"), "text").repartition("id").sortWithinPartitions("id")
+    return hashed.mapInArrow(run, "id long, text string")
 
 
-#: Punctuation between words, and line ends, as a translation; apostrophes and hyphens inside words stay.
-_MARKS = {ord(c): " " for c in "!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~\u2026\u201c\u201d\u201e\u00ab\u00bb\u2014\u2013\u00bf\u00a1\u3002\u3001\uff01\uff1f\t"} | {13: "\n"}
-_ENDS = [p + q + " " for p in ".!?\u2026" for q in ("", '"', "\u201d", "\u00bb", ")")]
+def _text_votes(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, area_id, w): votes of the labelled copies of a text; they share one vote."""
+    given = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("area_id").cast("int").alias("area_id")).where("id IS NOT NULL AND area_id IS NOT NULL").distinct()
+    votes = given.select("id", "area_id", (F.lit(1.0) / F.count("*").over(_by("id"))).alias("w"))
+    copies = rows.select("id", F.xxhash64("text").alias("text")).distinct()
+    of_text = copies.join(votes, "id").groupBy("text", "area_id").agg(F.sum("w").alias("w"))
+    return of_text.select(F.col("text").alias("id"), "area_id", (F.col("w") / F.sum("w").over(_by("text"))).alias("w"))
 
 
-def flat(text: str) -> str:
-    """The words of a text between single blanks, sentences between line ends; made with whole-string operations only."""
-    t = _DIGITS.sub("0", text.lower())
-    for e in _ENDS:
-        if e in t:
-            t = t.replace(e, " \n ")
-    if not t.isascii():
-        t = t.replace("\u3002", "\n").replace("\uff01", "\n").replace("\uff1f", "\n")
-    t = t.translate(_MARKS).replace("\n", " \n ")
-    while "  " in t:
-        t = t.replace("  ", " ")
-    return " " + t.strip(" ") + " "
+def _hash_counts(docs: DataFrame) -> DataFrame:
+    """(sentence, h, n): documents with each sentence and with each term, by their hashes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, texts, doc in wordhash.pieces(b.column(1).to_pylist()):
+                t = wordhash.terms(texts)
+                for sentence, of, h in ((True, doc[t.sent_doc], t.sent_hash), (False, doc[t.sent_doc[t.term_sent]], t.term_hash)):
+                    h = wordhash.once(of, h)[1]
+                    at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+                    n = np.diff(np.append(at, len(h)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), sentence)), pa.array(h[at].view(np.int64)), pa.array(n)], ["sentence", "h", "n"])
 
-class Finder:
-    """Finds known terms in whole texts with one automaton; words and pairs stand between blanks, runs of other scripts anywhere.
+    return docs.select("id", "text").mapInArrow(run, "sentence boolean, h long, n long").groupBy("sentence", "h").agg(F.sum("n").alias("n"))
 
-    Formulas are patterns of their own: a sentence that is one counts for nothing.
-    """
 
-    def __init__(self, weights: dict[str, tuple[int, float]], passing: frozenset[str], formulas: frozenset[str]) -> None:
-        import ahocorasick
-
-        self.empty = not weights
-        self.machine = ahocorasick.Automaton()
-        for t in weights.keys() | passing:
-            area, w = weights.get(t, (0, 0.0))
-            self.machine.add_word(t if _EAST.search(t) else f" {t} ", (t, area, w * w * (2 if " " in t else 1)))
-        for s in formulas:
-            if words := flat(s).replace("\n", " ").strip():
-                self.machine.add_word(f"\n {words} \n", (s, -1, 0.0))
-        if not self.empty:
-            self.machine.make_automaton()
-
-    def about(self, text: str) -> list[int]:
-        """Areas of a text: those of two sentences or more, or of the one there is in a shorter text."""
-        if self.empty:
-            return []
-        joined = f"\n{flat(text)}\n"
-        counts: Counter = Counter()
-        at, seen, score, passed, formulas = 0, set(), {}, False, 0
-        for end, (t, area, w) in self.machine.iter(joined):
-            if area < 0:
-                # the pattern ends at the line end of its sentence
-                if end > at:
-                    _settle(score, passed, counts)
-                    at, seen, score = end, set(), {}
-                passed = True
-                formulas += 1
-                continue
-            if end > at:
-                _settle(score, passed, counts)
-                at = joined.find("\n", end)
-                seen, score, passed = set(), {}, False
-            if t not in seen:
-                seen.add(t)
-                if area:
-                    score[area] = score.get(area, 0.0) + w
-                else:
-                    passed = True
-        _settle(score, passed, counts)
-        got = [a for a, k in counts.items() if k >= 2]
-        if got or len(counts) != 1:
-            return sorted(got)
-        n = sum(1 for x in joined.split("\n") if x.strip()) - formulas
-        return list(counts) if n <= SHORT else []
-
-
-def _settle(score: dict[int, float], passed: bool, counts: Counter) -> None:
-    """Counts the sentence whose scores these are, if its terms agree on an area and it is no passing mention."""
-    if score and not passed:
-        top = max(score, key=score.__getitem__)
-        if len(score) == 1 or score[top] > 1.5 * max(v for a, v in score.items() if a != top):
-            counts[top] += 1
-
-
-def _term_counts(docs: DataFrame, formulas: frozenset[str]) -> DataFrame:
-    """(term, df): documents with each term outside formulas."""
+class _Lookup:
+    """Numbers of known hashes; most unknown ones fall through a table of their highest bits."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
-        for b in batches:
-            for t in b.column(1).to_pylist():
-                n.update(set().union(*[terms(s) for s in sentences(t) if s not in formulas]))
-            if len(n) > HELD:
-                yield _counted(n, "term")
-                n = Counter()
-        yield _counted(n, "term")
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.order = np.argsort(hashes.view(np.uint64), kind="stable")
+        self.sorted = hashes.view(np.uint64)[self.order]
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[self.sorted >> np.uint64(42)] = True
 
-    return docs.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in h, numbers) of the hashes that are known."""
+        at = np.flatnonzero(self.seen[h >> np.uint64(42)])
+        if not len(at) or not len(self.sorted):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        place = np.minimum(np.searchsorted(self.sorted, h[at]), len(self.sorted) - 1)
+        hit = self.sorted[place] == h[at]
+        return at[hit], self.order[place[hit]]
 
 
-def _counted(n: Counter, name: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(n.keys()), pa.string()), pa.array(list(n.values()), pa.int64())], [name, "n"])
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values)
 
 
-def _sentence_terms(docs: DataFrame, formulas: frozenset[str], numbers: dict[str, int]) -> DataFrame:
-    """(id, sents): the numbers of the known terms of each sentence outside formulas."""
+def _sentence_terms(docs: DataFrame, formulas: np.ndarray, known: np.ndarray) -> DataFrame:
+    """(id, sents): the numbers of the known terms of each sentence outside formulas, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, formula = _Lookup(known), _Lookup(formulas)
         for b in batches:
-            found = [[[numbers[x] for x in terms(s) if x in numbers] for s in sentences(t) if s not in formulas] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["id", "sents"])
+            sents, sizes, terms = np.zeros(b.num_rows, np.int64), [], []
+            for _, texts, doc in wordhash.pieces(b.column(1).to_pylist()):
+                t = wordhash.terms(texts)
+                counts = np.ones(len(t.sent_doc), bool)
+                counts[formula(t.sent_hash)[0]] = False
+                number = np.cumsum(counts) - 1
+                at, term = find(t.term_hash)
+                at = t.term_sent[at]
+                sent, term = at[counts[at]], term[counts[at]]
+                key = np.unique(number[sent] * len(known) + term)
+                np.add.at(sents, doc[t.sent_doc[counts]], 1)
+                sizes.append(np.bincount(key // max(1, len(known)), minlength=counts.sum()))
+                terms.append((key % max(1, len(known))).astype(np.int32))
+            inner = _lists(np.concatenate(sizes) if sizes else np.zeros(0, np.int64), pa.array(np.concatenate(terms) if terms else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(sents, inner)], ["id", "sents"])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, sents array<array<int>>")
+
+
+class _Batch:
+    """The lists of a batch as flat arrays: document of each sentence, sentence and term of each entry."""
+
+    def __init__(self, column: pa.Array) -> None:
+        sents = column.flatten()
+        self.docs = len(column)
+        self.size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.doc = np.repeat(np.arange(self.docs), self.size)
+        self.term = sents.flatten().to_numpy(zero_copy_only=False)
+        self.sent = np.repeat(np.arange(len(sents)), sents.value_lengths().to_numpy(zero_copy_only=False))
+
+
+class _Scores:
+    """Weights of terms as arrays by term number; area 0 of the list is none."""
+
+    def __init__(self, weights: dict[int, tuple[int, float]], known: np.ndarray) -> None:
+        self.areas = np.array([0, *sorted({a for a, _ in weights.values()})])
+        place = {a: i for i, a in enumerate(self.areas.tolist())}
+        self.area, self.score = np.zeros(len(known), np.int64), np.zeros(len(known))
+        for t, (a, w) in weights.items():
+            self.area[t], self.score[t] = place[a], w * w * (1 + (known[t] & 1))
+
+    def tops(self, b: _Batch) -> np.ndarray:
+        """The area each sentence's terms agree on, 0 for none."""
+        k = len(self.areas)
+        weighed = self.score[b.term] > 0
+        term, sent = b.term[weighed], b.sent[weighed]
+        by = np.bincount(sent * k + self.area[term], self.score[term], len(b.doc) * k).reshape(-1, k)
+        if not len(by):
+            return np.zeros(0, np.int64)
+        top, best = by.argmax(1), by.max(1)
+        np.put_along_axis(by, top[:, None], 0.0, 1)
+        top[best <= 1.5 * by.max(1)] = 0
+        return top
+
+
+def _term_votes(labelled: DataFrame, n_terms: int, least: float) -> tuple[dict[int, tuple[int, float]], list[int]]:
+    """term -> (area, share) among the labelled documents, with a margin for chance; and the areas that have labels."""
+    each = labelled.select(F.explode(F.array_distinct(F.flatten("sents"))).alias("term"), "votes").select("term", F.inline("votes"))
+    per = each.groupBy("term", "area_id").agg(F.sum("w").alias("w")).groupBy("term").agg(F.max_by("area_id", F.struct("w", "area_id")).alias("area"), F.max("w").alias("top"), F.sum("w").alias("all"))
+    share = (F.col("top") - 1) / (F.col("all") + 1)
+    rows = small_rows(per.select("term", "area", share.alias("share")).where(F.col("share") >= least), n_terms)
+    return {r["term"]: (r["area"], r["share"]) for r in rows}, sorted({r["area"] for r in rows})
+
+
+def _vectors(sents: DataFrame, votes: dict[int, tuple[int, float]], areas: list[int], n_terms: int) -> DataFrame:
+    """Adds ``features``: the sum of the area shares of a document's terms as a unit vector; documents of one subject are near in every language."""
+    from pyspark.ml.functions import array_to_vector
+
+    place, k = {a: i for i, a in enumerate(areas)}, len(areas)
+    area, share = np.zeros(n_terms, np.int64), np.zeros(n_terms)
+    for t, (a, w) in votes.items():
+        area[t], share[t] = place[a], w
 
-    return docs.mapInArrow(run, "id long, sents array<array<int>>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _Batch(b.column(1))
+            counts = share[x.term] > 0
+            term, doc = x.term[counts], x.doc[x.sent[counts]]
+            v = np.bincount(doc * k + area[term], share[term], x.docs * k).reshape(-1, k)
+            v /= np.linalg.norm(v, axis=1, keepdims=True).clip(1e-12)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(np.full(x.docs, k), pa.array(v.ravel()))], ["id", "sents", "v"])
 
+    made = sents.select("id", "sents").mapInArrow(run, "id long, sents array<array<int>>, v array<double>")
+    return made.select("id", "sents", array_to_vector("v").alias("features"))
 
-def _formulas(docs: DataFrame, n: int) -> frozenset[str]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _leaf_terms(sents: DataFrame, votes: DataFrame, n_terms: int) -> dict[int, tuple[int, float]]:
+    """term -> (area, share): the area that the leaves of the documents with a term have most of, by their mixtures."""
+    from pyspark.ml.clustering import BisectingKMeans
+
+    labelled = cut(sents.join(votes.groupBy("id").agg(F.collect_list(F.struct("area_id", "w")).alias("votes")), "id"))
+    voted, areas = _term_votes(labelled, n_terms, VOTED)
+    if not voted:
+        return {}
+    # the order of the ids, which are hashes, is a random order
+    sample = _vectors(labelled.orderBy("id").limit(FIT), voted, areas, n_terms).select("features")
+    model = BisectingKMeans(k=LEAVES, maxIter=PASSES, seed=7, minDivisibleClusterSize=4.0).fit(sample)
+    placed = model.transform(_vectors(sents, voted, areas, n_terms))
+    leaves = placed.select("id", F.col("prediction").alias("leaf")).join(votes, "id").groupBy("leaf", "area_id").agg(F.sum("w").alias("w"))
+    rows = small_rows(leaves, LEAVES * MAX_AREAS)
+    areas = sorted({r["area_id"] for r in rows}, reverse=True)
+    mix = np.zeros((LEAVES, len(areas)))
+    for r in rows:
+        mix[r["leaf"], areas.index(r["area_id"])] = r["w"]
+    mix /= mix.sum(1, keepdims=True) + 0.5
+
+    def per_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(n_terms * LEAVES, np.int32)
         for b in batches:
-            counts = Counter(s for t in b.column(1).to_pylist() for s in set(sentences(t)))
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["s", "n"])
+            x = _Batch(b.column(0))
+            doc, term = wordhash.once(x.doc[x.sent], x.term)
+            counts += np.bincount(term.astype(np.int64) * LEAVES + b.column(1).to_numpy(zero_copy_only=False)[doc], minlength=len(counts)).astype(np.int32)
+        counts = counts.reshape(-1, LEAVES)
+        p, n = counts @ mix, counts.sum(1)
+        t, a = p.nonzero()
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(np.array(areas)[a], pa.int32()), pa.array(p[t, a]), pa.array(n[t].astype(np.int64))], ["term", "area", "w", "n"])
 
-    counted = docs.mapInArrow(run, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    # no more than sentences per document / FORMULA can pass
-    return frozenset(r[0] for r in small_rows(counted.where(F.col("n") > max(8, FORMULA * n)).select("s"), MAX_TERMS))
+    mixed = placed.select("sents", "prediction").mapInArrow(per_term, "term int, area int, w double, n long").groupBy("term", "area").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+    best = mixed.groupBy("term").agg(F.max_by("area", F.struct("w", "area")).alias("area"), (F.max("w") / F.max("n")).alias("share"))
+    return {r["term"]: (r["area"], r["share"]) for r in small_rows(best.where(F.col("share") >= LEAF), n_terms)}
 
 
-def _sentence_counts(stored: DataFrame, weights: dict[int, tuple[int, float]], known: list[str]) -> DataFrame:
+def _sentence_counts(sents: DataFrame, weights: dict[int, tuple[int, float]], known: np.ndarray) -> DataFrame:
     """(term, area, n, alone, some): sentences with the term by their area, where another sentence bears it out;
     those whose area is alone in the document, and all that have one. A sentence has the area its terms agree on, 0 for none."""
-    areas = [0, *sorted({a for a, _ in weights.values()})]
-    place = {a: i for i, a in enumerate(areas)}
-    area, score = np.zeros(len(known), np.int64), np.zeros(len(known))
-    for t, (a, w) in weights.items():
-        area[t], score[t] = place[a], w * w * (2 if " " in known[t] else 1)
-    k = len(areas)
+    scores = _Scores(weights, known)
+    k, areas = len(scores.areas), scores.areas
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, alone = np.zeros(len(area) * k, np.int64), np.zeros(len(area), np.int64)
+        n, alone = np.zeros(len(known) * k, np.int64), np.zeros(len(known), np.int64)
         for b in batches:
-            sents = b.column(1).flatten()
-            size = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(len(size)), size)
-            term = sents.flatten().to_numpy(zero_copy_only=False)
-            sent = np.repeat(np.arange(len(sents)), sents.value_lengths().to_numpy(zero_copy_only=False))
-            by = np.bincount(sent * k + area[term], score[term], len(sents) * k).reshape(-1, k)
-            top = by.argmax(1) if len(by) else np.zeros(0, np.int64)
-            best = by.max(1, initial=0.0)
-            np.put_along_axis(by, top[:, None], 0.0, 1)
-            top[best <= 1.5 * by.max(1, initial=0.0)] = 0
-            per = np.bincount(doc * k + top, minlength=len(size) * k)
-            borne = np.where(per[doc * k + top] > 1, top, 0)
+            x = _Batch(b.column(0))
+            top = scores.tops(x)
+            per = np.bincount(x.doc * k + top, minlength=x.docs * k)
+            borne = np.where(per[x.doc * k + top] > 1, top, 0)
             # too short to bear out the area of a sentence by others
-            counts = (size >= 4)[doc][sent]
-            n += np.bincount((term * k + borne[sent])[counts], minlength=len(n))
-            alone += np.bincount(term[counts & ((top > 0) & (borne == 0))[sent]], minlength=len(alone))
+            counts = (x.size > SHORT)[x.doc]
+            here = counts[x.sent]
+            term, sent = x.term[here], x.sent[here]
+            n += np.bincount(term.astype(np.int64) * k + borne[sent], minlength=len(n))
+            single = ((top > 0) & (borne == 0))[sent]
+            alone += np.bincount(term[single], minlength=len(alone))
         at = n.nonzero()[0]
         t, a = at // k, at % k
         only = np.where(a == 0, alone[t], 0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(t, pa.int32()), pa.array(np.array(areas)[a], pa.int32()), pa.array(n[at]), pa.array(only), pa.array(np.where(a == 0, only, n[at]))], ["term", "area", "n", "alone", "some"]
-        )
-
-    return stored.mapInArrow(run, "term int, area int, n long, alone long, some long").groupBy("term", "area").agg(F.sum("n").alias("n"), F.sum("alone").alias("alone"), F.sum("some").alias("some"))
-
-
-def _votes(labels: DataFrame) -> DataFrame:
-    """(id, area_id, w): the labels of a document share one vote."""
-    share = F.lit(1.0) / F.count("*").over(_by("id"))
-    return labels.select(F.col("doc_id").cast("long").alias("id"), F.col("area_id").cast("int").alias("area_id")).where("id IS NOT NULL AND area_id IS NOT NULL").distinct().select("id", "area_id", share.alias("w"))
-
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(areas[a], pa.int32()), pa.array(n[at]), pa.array(only), pa.array(np.where(a == 0, only, n[at]))], ["term", "area", "n", "alone", "some"])
 
-def _leaf_terms(vectors: DataFrame, votes: DataFrame) -> DataFrame:
-    """(term, area, share): the area that the leaves of the documents with a term have most of, by their mixtures."""
-    from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.feature import HashingTF, IDF, Normalizer
-
-    hashed = HashingTF(inputCol="terms", outputCol="tf", numFeatures=FEATURES, binary=True).transform(vectors)
-    weighed = IDF(inputCol="tf", outputCol="idf").fit(hashed).transform(hashed)
-    unit = Normalizer(inputCol="idf", outputCol="features").transform(weighed).select("id", "terms", "features")
-    model = BisectingKMeans(k=LEAVES, maxIter=5, seed=7, minDivisibleClusterSize=4.0).fit(unit.select("features"))
-    placed = model.transform(unit).select("id", "terms", F.col("prediction").alias("leaf"))
-    voted = model.transform(unit.join(votes, "id")).groupBy(F.col("prediction").alias("leaf"), "area_id").agg(F.sum("w").alias("w")).collect()  # as many rows as leaves have areas
-    areas = sorted({r["area_id"] for r in voted}, reverse=True)
-    mix = np.zeros((LEAVES, len(areas)))
-    for r in voted:
-        mix[r["leaf"], areas.index(r["area_id"])] = r["w"]
-    mix /= mix.sum(1, keepdims=True) + 0.5
+    counted = sents.select("sents").mapInArrow(run, "term int, area int, n long, alone long, some long")
+    return counted.groupBy("term", "area").agg(F.sum("n").alias("n"), F.sum("alone").alias("alone"), F.sum("some").alias("some"))
 
-    def per_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            leaf = np.repeat(b.column(1).to_numpy(zero_copy_only=False), b.column(0).value_lengths().to_numpy(zero_copy_only=False))
-            at, n = np.unique(b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64) * LEAVES + leaf, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(at // LEAVES, pa.int32()), pa.array(at % LEAVES, pa.int32()), pa.array(n, pa.int64())], ["term", "leaf", "n"])
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        term, leaf, n = [np.concatenate(c) for c in zip(*[[x.to_numpy(zero_copy_only=False) for x in b.columns] for b in batches])] or [np.zeros(0, np.int64)] * 3
-        known, at = np.unique(term, return_inverse=True)
-        counts = np.bincount(at * LEAVES + leaf, n, len(known) * LEAVES).reshape(-1, LEAVES)
-        p = counts @ mix
-        top = p.argmax(1) if len(known) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(known, pa.int32()), pa.array(np.array(areas)[top], pa.int32()), pa.array(p.max(1, initial=0.0) / counts.sum(1))], ["term", "area", "share"])
 
-    counted = placed.select("terms", "leaf").mapInArrow(per_leaf, "term int, leaf int, n long")
-    return counted.repartition("term").mapInArrow(best, "term int, area int, share double")
+def _weigh(sents: DataFrame, weights: dict[int, tuple[int, float]], known: np.ndarray, least_share: float, least: float) -> tuple[dict[int, tuple[int, float]], np.ndarray]:
+    """Weights by the sentences that hold a term, and the terms of passing mentions."""
+    counts = _sentence_counts(sents, weights, known)
+    per = counts.groupBy("term").agg(
+        F.max_by("area", F.when(F.col("area") > 0, F.struct("n", "area"))).alias("area"), F.max(F.when(F.col("area") > 0, F.col("n"))).alias("n"), F.sum("n").alias("all"), F.sum("alone").alias("alone"), F.sum("some").alias("some")
+    )
+    weighed = (F.col("n") / F.col("all") >= least_share) & (F.col("n") >= max(3, least / 2))
+    passing = (F.col("some") >= max(5, least)) & (F.col("alone") >= PASSING * F.col("some"))
+    rows = small_rows(per.select("term", "area", (F.col("n") / F.col("all")).alias("share"), F.coalesce(weighed, F.lit(False)).alias("weighed"), passing.alias("passing")).where("weighed OR passing"), MAX_TERMS)
+    return {r["term"]: (r["area"], r["share"]) for r in rows if r["weighed"]}, np.array([r["term"] for r in rows if r["passing"] and not r["weighed"]], np.int64)
 
 
-def _by(*cols: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*cols)
-
-
-def _distinct_texts(rows: DataFrame) -> DataFrame:
-    """(id, text): each text once, whatever its copies; the id is the hash of the text."""
+def _areas(sents: DataFrame, weights: dict[int, tuple[int, float]], passing: np.ndarray, known: np.ndarray) -> DataFrame:
+    """(text, area_id): areas of two sentences or more, or of the one there is in a shorter text; passing mentions count for nothing."""
+    scores = _Scores(weights, known)
+    k, areas = len(scores.areas), scores.areas
+    passed = np.zeros(len(known), bool)
+    passed[passing] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for b in batches:
-            new = [i for i, h in enumerate(b.column(0).to_pylist()) if not (h in seen or seen.add(h))]
-            yield b.take(pa.array(new, pa.int64()))
-
-    return rows.select(F.xxhash64("text").alias("id"), "text").repartition("id").mapInArrow(run, "id long, text string")
+            x = _Batch(b.column(1))
+            top = scores.tops(x)
+            top[x.sent[passed[x.term]]] = 0
+            per = np.bincount(x.doc * k + top, minlength=x.docs * k).reshape(-1, k)
+            per[:, 0] = 0
+            short = (x.size <= SHORT) & ((per > 0).sum(1) == 1)
+            doc, area = ((per >= 2) | (per > 0) & short[:, None]).nonzero()
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(areas[area], pa.int32())], ["text", "area_id"])
 
-
-def _text_votes(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, area_id, w): votes of the labelled copies of a text; they share one vote."""
-    copies = rows.select("id", F.xxhash64("text").alias("text")).distinct()
-    of_text = copies.join(_votes(labels), "id").groupBy("text", "area_id").agg(F.sum("w").alias("w"))
-    return of_text.select(F.col("text").alias("id"), "area_id", (F.col("w") / F.sum("w").over(_by("text"))).alias("w"))
-
-
-def learn_terms(docs: DataFrame, votes: DataFrame) -> tuple[dict[str, tuple[int, float]], frozenset[str], frozenset[str]]:
-    """(term -> (area, weight), formulas, terms of passing mentions), from all distinct texts (id, text) and the votes (id, area_id, w) of some."""
-    n = docs.count()
-    if not n:
-        return {}, frozenset(), frozenset()
-    formulas = _formulas(docs, n)
-    least = max(MIN_DOCS, MIN_SHARE * n)
-    frequent = _term_counts(docs, formulas).where((F.col("df") >= least) & (F.col("df") <= max(MIN_DOCS, MAX_SHARE * n)))
-    known = sorted(r[0] for r in small_rows(frequent.select("term"), MAX_TERMS))
-    stored = cut(_sentence_terms(docs, formulas, {t: i for i, t in enumerate(known)}))
-    vectors = stored.select("id", F.array_distinct(F.flatten("sents")).alias("terms")).where(F.size("terms") > 0)
-    labelled = cut(vectors.join(votes, "id"))
-    if not labelled.head(1):
-        return {}, formulas, frozenset()
-    by_leaf = {r["term"]: (r["area"], r["share"]) for r in _leaf_terms(vectors, votes).collect()}  # a row for each known term
-    # where enough labelled documents hold a term, they decide, with a margin for chance; else the leaves do
-    by_label = labelled.select("area_id", "w", F.explode("terms").alias("term")).groupBy("term", "area_id").agg(F.sum("w").alias("w")).groupBy("term").agg(F.max_by("area_id", F.struct("w", "area_id")).alias("area"), F.max("w").alias("top"), F.sum("w").alias("all"))
-    labels_of = {r["term"]: (r["area"], (r["top"] - 1) / (r["all"] + 1), r["all"]) for r in by_label.collect()}
-    weights: dict[int, tuple[int, float]] = {}
-    for t, (area, share) in by_leaf.items():
-        l_area, l_share, l_all = labels_of.get(t, (0, 0.0, 0.0))
-        if l_share >= LABELLED:
-            weights[t] = l_area, max(l_share, share)
-        elif l_all < 4 and share >= LEAF:
-            weights[t] = area, share
-
-    passing: frozenset[int] = frozenset()
-    for least_share in ROUNDS:
-        counts = cut(_sentence_counts(stored, weights, known))
-        total = counts.groupBy("term").agg(F.sum("n").alias("all"), F.sum("alone").alias("alone"), F.sum("some").alias("some"))
-        best = counts.where("area > 0").groupBy("term").agg(F.max_by("area", F.struct("n", "area")).alias("area"), F.max("n").alias("n")).join(total, "term").withColumn("share", F.col("n") / F.col("all"))
-        rows = best.where((F.col("share") >= least_share) & (F.col("n") >= max(3, least / 2))).select("term", "area", "share").collect()
-        alone = total.where((F.col("some") >= max(5, least)) & (F.col("alone") >= PASSING * F.col("some"))).select("term").collect()
-        weights = {r["term"]: (r["area"], r["share"]) for r in rows}
-        passing = frozenset(r[0] for r in alone) - weights.keys()
-    return {known[t]: w for t, w in weights.items()}, formulas, frozenset(known[t] for t in passing)
+    return sents.select("id", "sents").mapInArrow(run, "text long, area_id int")
 
 
 def document_areas(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -350,17 +322,25 @@ def document_areas(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     without labels or documents the result is empty; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(r"\w|[^\x00-\x7f]"))
-    weights, formulas, passing = learn_terms(cut(_distinct_texts(rows)), cut(_text_votes(rows, labels)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(weights, passing, formulas)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            areas = {t: finder.about(t) for t in set(texts)}
-            pairs = [(i, a) for i, t in zip(b.column(0).to_pylist(), texts) for a in areas[t]]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int32())], ["id", "area_id"])
-
-    return rows.mapInArrow(run, "id long, area_id int").distinct().withColumnRenamed("id", id_col)
+    texts, votes = stored(_distinct_texts(rows)), cut(_text_votes(rows, labels))
+    nothing = docs.sparkSession.createDataFrame([], f"`{id_col}` long, area_id int")
+    n = texts.count()
+    if not n or not votes.head(1):
+        return nothing
+    least = max(MIN_DOCS, MIN_SHARE * n)
+    # no more than (terms of a document) / MIN_SHARE terms and (sentences of a document) / FORMULA sentences can pass
+    frequent = F.when(F.col("sentence"), F.col("n") > max(8, FORMULA * n)).otherwise((F.col("n") >= least) & (F.col("n") <= max(MIN_DOCS, MAX_SHARE * n)))
+    counted = small_rows(_hash_counts(texts).where(frequent), 2 * MAX_TERMS)
+    formulas = np.array(sorted(r["h"] for r in counted if r["sentence"]), np.int64)
+    known = np.array(sorted(r["h"] for r in counted if not r["sentence"]), np.int64)
+    sents = stored(_sentence_terms(texts, formulas, known))
+    weights, passing = _leaf_terms(sents, votes, len(known)), np.zeros(0, np.int64)
+    for least_share in ROUNDS:
+        weights, passing = _weigh(sents, weights, known, least_share, least)
+    by_text = _areas(sents, weights, passing, known)
+    # a text may have many copies: its few areas are one row, and AQE splits a key that many rows share
+    lists = by_text.groupBy("text").agg(F.collect_set("area_id").alias("areas"))
+    return rows.select("id", F.xxhash64("text").alias("text")).join(lists, "text").select(F.col("id").alias(id_col), F.explode("areas").alias("area_id")).distinct()
 
 
 def corpus_makeup(assigned: DataFrame, areas: DataFrame, id_col: str = "doc_id") -> DataFrame:
