@@ -20,7 +20,7 @@ tasks: terms must be frequent relative to the corpus, so its size is bounded
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ MIN_SHARE, MIN_DOCS = 1 / 2500, 4
 #: Terms in a larger share say nothing.
 MAX_SHARE = 0.2
 MAX_TERMS = 400_000
+#: Terms a task counts at once before it hands them on; terms of one row of sums.
+HELD, BLOCK = 4_000_000, 512
 #: A sentence, digits and marks aside, that stands in this share of the documents is a formula.
 FORMULA = 0.012
 #: Leaves of the tree, and passes per division.
@@ -61,93 +63,79 @@ def _by(*cols: str):
     return Window.partitionBy(*cols)
 
 
-def _distinct_texts(rows: DataFrame) -> DataFrame:
-    """(id, text): each text once, whatever its copies; the id is the hash of the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for b in batches:
-            if b.num_rows:
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                new = np.append(last is None or ids[0] != last, ids[1:] != ids[:-1])
-                last = ids[-1]
-                yield b.filter(pa.array(new))
-
-    hashed = rows.select(F.xxhash64("text").alias("id"), "text").repartition("id").sortWithinPartitions("id")
-    return hashed.mapInArrow(run, "id long, text string")
-
-
 def _text_votes(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, area_id, w): votes of the labelled copies of a text; they share one vote."""
+    """(id, votes): votes of the labelled copies of a text; they share one vote. The id is the hash of the text."""
     given = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("area_id").cast("int").alias("area_id")).where("id IS NOT NULL AND area_id IS NOT NULL").distinct()
     votes = given.select("id", "area_id", (F.lit(1.0) / F.count("*").over(_by("id"))).alias("w"))
     copies = rows.select("id", F.xxhash64("text").alias("text")).distinct()
     of_text = copies.join(votes, "id").groupBy("text", "area_id").agg(F.sum("w").alias("w"))
-    return of_text.select(F.col("text").alias("id"), "area_id", (F.col("w") / F.sum("w").over(_by("text"))).alias("w"))
+    shared = of_text.select(F.col("text").alias("id"), "area_id", (F.col("w") / F.sum("w").over(_by("text"))).alias("w"))
+    return shared.groupBy("id").agg(F.collect_list(F.struct("area_id", "w")).alias("votes"))
+
+
+def _distinct_texts(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, text, votes): each text once, whatever its copies, beside the votes it has; texts are shuffled this once."""
+    hashed = rows.select(F.xxhash64("text").alias("id"), "text").repartition("id").sortWithinPartitions("id")
+    return hashed.dropDuplicates(["id"]).join(_text_votes(rows, labels), "id", "left")
 
 
 def _hash_counts(docs: DataFrame) -> DataFrame:
     """(sentence, h, n): documents with each sentence and with each term, by their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list[np.ndarray]] = {True: [], False: []}
         for b in batches:
-            for _, texts, doc in wordhash.pieces(b.column(1).to_pylist()):
+            for texts, doc in wordhash.pieces(b.column(0).to_pylist()):
                 t = wordhash.terms(texts)
-                for sentence, of, h in ((True, doc[t.sent_doc], t.sent_hash), (False, doc[t.sent_doc[t.term_sent]], t.term_hash)):
-                    h = wordhash.once(of, h)[1]
-                    at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-                    n = np.diff(np.append(at, len(h)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), sentence)), pa.array(h[at].view(np.int64)), pa.array(n)], ["sentence", "h", "n"])
-
-    return docs.select("id", "text").mapInArrow(run, "sentence boolean, h long, n long").groupBy("sentence", "h").agg(F.sum("n").alias("n"))
-
-
-class _Lookup:
-    """Numbers of known hashes; most unknown ones fall through a table of their highest bits."""
+                held[True].append(wordhash.once(doc[t.sent_doc], t.sent_hash))
+                held[False].append(wordhash.once(doc[t.sent_doc[t.term_sent]], t.term_hash))
+                if sum(map(len, held[False])) > HELD:
+                    yield from flush(held)
+        yield from flush(held)
 
-    def __init__(self, hashes: np.ndarray) -> None:
-        self.order = np.argsort(hashes.view(np.uint64), kind="stable")
-        self.sorted = hashes.view(np.uint64)[self.order]
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[self.sorted >> np.uint64(42)] = True
+    def flush(held: dict[bool, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for sentence, parts in held.items():
+            if parts:
+                h, n = wordhash.counted(np.concatenate(parts))
+                parts.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), sentence)), pa.array(h.view(np.int64)), pa.array(n)], ["sentence", "h", "n"])
 
-    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions in h, numbers) of the hashes that are known."""
-        at = np.flatnonzero(self.seen[h >> np.uint64(42)])
-        if not len(at) or not len(self.sorted):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        place = np.minimum(np.searchsorted(self.sorted, h[at]), len(self.sorted) - 1)
-        hit = self.sorted[place] == h[at]
-        return at[hit], self.order[place[hit]]
+    return docs.select("text").mapInArrow(run, "sentence boolean, h long, n long").groupBy("sentence", "h").agg(F.sum("n").alias("n"))
 
 
 def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values)
 
 
+def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
 def _sentence_terms(docs: DataFrame, formulas: np.ndarray, known: np.ndarray) -> DataFrame:
-    """(id, sents): the numbers of the known terms of each sentence outside formulas, each once."""
+    """(id, votes, sents): the numbers of the known terms of each sentence outside formulas, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, formula = _Lookup(known), _Lookup(formulas)
+        find, formula, m = wordhash.Lookup(known), wordhash.Lookup(formulas), max(1, len(known))
         for b in batches:
             sents, sizes, terms = np.zeros(b.num_rows, np.int64), [], []
-            for _, texts, doc in wordhash.pieces(b.column(1).to_pylist()):
+            for texts, doc in wordhash.pieces(b.column(2).to_pylist()):
                 t = wordhash.terms(texts)
                 counts = np.ones(len(t.sent_doc), bool)
                 counts[formula(t.sent_hash)[0]] = False
                 number = np.cumsum(counts) - 1
                 at, term = find(t.term_hash)
                 at = t.term_sent[at]
-                sent, term = at[counts[at]], term[counts[at]]
-                key = np.unique(number[sent] * len(known) + term)
-                np.add.at(sents, doc[t.sent_doc[counts]], 1)
-                sizes.append(np.bincount(key // max(1, len(known)), minlength=counts.sum()))
-                terms.append((key % max(1, len(known))).astype(np.int32))
-            inner = _lists(np.concatenate(sizes) if sizes else np.zeros(0, np.int64), pa.array(np.concatenate(terms) if terms else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(sents, inner)], ["id", "sents"])
+                kept = counts[at]
+                key, _ = wordhash.counted(number[at[kept]] * m + term[kept])
+                sent = key // m
+                sents += np.bincount(doc[t.sent_doc[counts]], minlength=len(sents))
+                sizes.append(np.bincount(sent, minlength=counts.sum()))
+                terms.append((key - sent * m).astype(np.int32))
+            inner = _lists(_joined(sizes, np.int64), pa.array(_joined(terms, np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(sents, inner)], ["id", "votes", "sents"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, sents array<array<int>>")
+    votes = docs.schema["votes"].dataType.simpleString()
+    return docs.select("id", "votes", "text").mapInArrow(run, f"id long, votes {votes}, sents array<array<int>>")
 
 
 class _Batch:
@@ -186,13 +174,49 @@ class _Scores:
         return top
 
 
-def _term_votes(labelled: DataFrame, n_terms: int, least: float) -> tuple[dict[int, tuple[int, float]], list[int]]:
+def _summed(sents: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray], finish: Callable[[int, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """Sums per term over the whole table: a task hands its sums on in blocks of ``BLOCK`` terms; ``finish`` sees the total of a block."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = partial(batches)
+        at = [i for i in range(0, len(m), BLOCK) if m[i : i + BLOCK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([m[i : i + BLOCK].tobytes() for i in at], pa.binary()), pa.array([m.shape[1]] * len(at), pa.int32())], ["at", "sums", "k"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, data, k in zip(*[c.to_pylist() for c in b.columns]):
+                m = np.frombuffer(data).reshape(-1, k)
+                sums[at] = sums[at] + m if at in sums else m
+        for at, m in sums.items():
+            yield finish(at, m)
+
+    return sents.mapInArrow(parts, "at int, sums binary, k int").repartition("at").mapInArrow(total, schema)
+
+
+def _term_votes(sents: DataFrame, n_terms: int, least: float) -> tuple[dict[int, tuple[int, float]], list[int]]:
     """term -> (area, share) among the labelled documents, with a margin for chance; and the areas that have labels."""
-    each = labelled.select(F.explode(F.array_distinct(F.flatten("sents"))).alias("term"), "votes").select("term", F.inline("votes"))
-    per = each.groupBy("term", "area_id").agg(F.sum("w").alias("w")).groupBy("term").agg(F.max_by("area_id", F.struct("w", "area_id")).alias("area"), F.max("w").alias("top"), F.sum("w").alias("all"))
-    share = (F.col("top") - 1) / (F.col("all") + 1)
-    rows = small_rows(per.select("term", "area", share.alias("share")).where(F.col("share") >= least), n_terms)
-    return {r["term"]: (r["area"], r["share"]) for r in rows}, sorted({r["area"] for r in rows})
+    labelled = sents.where("votes IS NOT NULL")
+    areas = sorted(r[0] for r in small_rows(labelled.select(F.inline("votes")).select("area_id").distinct(), MAX_AREAS))
+    place = {a: i for i, a in enumerate(areas)}
+    dense = F.transform(F.array(*[F.lit(a) for a in areas]), lambda a: F.aggregate("votes", F.lit(0.0), lambda s, v: s + F.when(v["area_id"] == a, v["w"]).otherwise(0.0)))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        sums = np.zeros((n_terms, len(areas)))
+        for b in batches:
+            x, w = _Batch(b.column(0)), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(areas))
+            key, _ = wordhash.counted(x.doc[x.sent] * n_terms + x.term)
+            for i in range(len(areas)):
+                sums[:, i] += np.bincount(key % n_terms, w[key // n_terms, i], n_terms)
+        return sums
+
+    def finish(at: int, m: np.ndarray) -> pa.RecordBatch:
+        share = (m.max(1) - 1) / (m.sum(1) + 1)
+        t = np.flatnonzero(share >= least)
+        return pa.RecordBatch.from_arrays([pa.array(at + t, pa.int32()), pa.array(np.array(areas)[m[t].argmax(1)], pa.int32()), pa.array(share[t])], ["term", "area", "share"])
+
+    rows = small_rows(_summed(labelled.select("sents", dense.alias("w")), partial, finish, "term int, area int, share double"), n_terms) if place else []
+    return {r["term"]: (r["area"], r["share"]) for r in rows}, areas
 
 
 def _vectors(sents: DataFrame, votes: dict[int, tuple[int, float]], areas: list[int], n_terms: int) -> DataFrame:
@@ -206,60 +230,64 @@ def _vectors(sents: DataFrame, votes: dict[int, tuple[int, float]], areas: list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _Batch(b.column(1))
+            x = _Batch(b.column(b.num_columns - 1))
             counts = share[x.term] > 0
             term, doc = x.term[counts], x.doc[x.sent[counts]]
             v = np.bincount(doc * k + area[term], share[term], x.docs * k).reshape(-1, k)
             v /= np.linalg.norm(v, axis=1, keepdims=True).clip(1e-12)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(np.full(x.docs, k), pa.array(v.ravel()))], ["id", "sents", "v"])
+            yield pa.RecordBatch.from_arrays([*b.columns, _lists(np.full(x.docs, k), pa.array(v.ravel()))], [*b.schema.names, "v"])
 
-    made = sents.select("id", "sents").mapInArrow(run, "id long, sents array<array<int>>, v array<double>")
-    return made.select("id", "sents", array_to_vector("v").alias("features"))
+    held = sents.select(*[c for c in sents.columns if c in ("votes", "sents")])
+    made = held.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema) + ", v array<double>")
+    return made.select(*held.columns, array_to_vector("v").alias("features"))
 
 
-def _leaf_terms(sents: DataFrame, votes: DataFrame, n_terms: int) -> dict[int, tuple[int, float]]:
+def _leaf_terms(sents: DataFrame, n_terms: int) -> dict[int, tuple[int, float]]:
     """term -> (area, share): the area that the leaves of the documents with a term have most of, by their mixtures."""
     from pyspark.ml.clustering import BisectingKMeans
 
-    labelled = cut(sents.join(votes.groupBy("id").agg(F.collect_list(F.struct("area_id", "w")).alias("votes")), "id"))
-    voted, areas = _term_votes(labelled, n_terms, VOTED)
+    voted, areas = _term_votes(sents, n_terms, VOTED)
     if not voted:
         return {}
     # the order of the ids, which are hashes, is a random order
-    sample = _vectors(labelled.orderBy("id").limit(FIT), voted, areas, n_terms).select("features")
-    model = BisectingKMeans(k=LEAVES, maxIter=PASSES, seed=7, minDivisibleClusterSize=4.0).fit(sample)
-    placed = model.transform(_vectors(sents, voted, areas, n_terms))
-    leaves = placed.select("id", F.col("prediction").alias("leaf")).join(votes, "id").groupBy("leaf", "area_id").agg(F.sum("w").alias("w"))
-    rows = small_rows(leaves, LEAVES * MAX_AREAS)
-    areas = sorted({r["area_id"] for r in rows}, reverse=True)
+    chosen = sents.where("votes IS NOT NULL").select("id", "sents").orderBy("id").limit(FIT)
+    model = BisectingKMeans(k=LEAVES, maxIter=PASSES, seed=7, minDivisibleClusterSize=4.0).fit(cut(_vectors(chosen, voted, areas, n_terms).select("features")))
+    leaves = model.transform(_vectors(sents.where("votes IS NOT NULL"), voted, areas, n_terms)).select(F.col("prediction").alias("leaf"), F.inline("votes"))
+    rows = small_rows(leaves.groupBy("leaf", "area_id").agg(F.sum("w").alias("w")), LEAVES * MAX_AREAS)
     mix = np.zeros((LEAVES, len(areas)))
     for r in rows:
         mix[r["leaf"], areas.index(r["area_id"])] = r["w"]
     mix /= mix.sum(1, keepdims=True) + 0.5
 
-    def per_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(n_terms * LEAVES, np.int32)
+    def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        counts = np.zeros(n_terms * LEAVES, np.int64)
         for b in batches:
             x = _Batch(b.column(0))
-            doc, term = wordhash.once(x.doc[x.sent], x.term)
-            counts += np.bincount(term.astype(np.int64) * LEAVES + b.column(1).to_numpy(zero_copy_only=False)[doc], minlength=len(counts)).astype(np.int32)
+            key, _ = wordhash.counted(x.doc[x.sent] * n_terms + x.term)
+            doc = key // n_terms
+            counts += np.bincount((key - doc * n_terms) * LEAVES + b.column(1).to_numpy(zero_copy_only=False)[doc], minlength=len(counts))
         counts = counts.reshape(-1, LEAVES)
-        p, n = counts @ mix, counts.sum(1)
-        t, a = p.nonzero()
-        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(np.array(areas)[a], pa.int32()), pa.array(p[t, a]), pa.array(n[t].astype(np.int64))], ["term", "area", "w", "n"])
+        return np.column_stack([counts.sum(1), counts @ mix])
+
+    def finish(at: int, m: np.ndarray) -> pa.RecordBatch:
+        share = m[:, 1:].max(1) / np.maximum(m[:, 0], 1)
+        t = np.flatnonzero(share >= LEAF)
+        return pa.RecordBatch.from_arrays([pa.array(at + t, pa.int32()), pa.array(np.array(areas)[m[t, 1:].argmax(1)], pa.int32()), pa.array(share[t])], ["term", "area", "share"])
 
-    mixed = placed.select("sents", "prediction").mapInArrow(per_term, "term int, area int, w double, n long").groupBy("term", "area").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
-    best = mixed.groupBy("term").agg(F.max_by("area", F.struct("w", "area")).alias("area"), (F.max("w") / F.max("n")).alias("share"))
-    return {r["term"]: (r["area"], r["share"]) for r in small_rows(best.where(F.col("share") >= LEAF), n_terms)}
+    placed = model.transform(_vectors(sents, voted, areas, n_terms)).select("sents", "prediction")
+    return {r["term"]: (r["area"], r["share"]) for r in small_rows(_summed(placed, partial, finish, "term int, area int, share double"), n_terms)}
 
 
-def _sentence_counts(sents: DataFrame, weights: dict[int, tuple[int, float]], known: np.ndarray) -> DataFrame:
-    """(term, area, n, alone, some): sentences with the term by their area, where another sentence bears it out;
-    those whose area is alone in the document, and all that have one. A sentence has the area its terms agree on, 0 for none."""
+def _weigh(sents: DataFrame, weights: dict[int, tuple[int, float]], known: np.ndarray, least_share: float, least: float) -> tuple[dict[int, tuple[int, float]], np.ndarray]:
+    """Weights by the sentences that hold a term, and the terms of passing mentions.
+
+    A sentence has the area its terms agree on where another sentence of the document bears it out. A term that
+    stands mostly in sentences whose area is alone in the document is a passing mention.
+    """
     scores = _Scores(weights, known)
     k, areas = len(scores.areas), scores.areas
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         n, alone = np.zeros(len(known) * k, np.int64), np.zeros(len(known), np.int64)
         for b in batches:
             x = _Batch(b.column(0))
@@ -271,27 +299,21 @@ def _sentence_counts(sents: DataFrame, weights: dict[int, tuple[int, float]], kn
             here = counts[x.sent]
             term, sent = x.term[here], x.sent[here]
             n += np.bincount(term.astype(np.int64) * k + borne[sent], minlength=len(n))
-            single = ((top > 0) & (borne == 0))[sent]
-            alone += np.bincount(term[single], minlength=len(alone))
-        at = n.nonzero()[0]
-        t, a = at // k, at % k
-        only = np.where(a == 0, alone[t], 0)
-        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(areas[a], pa.int32()), pa.array(n[at]), pa.array(only), pa.array(np.where(a == 0, only, n[at]))], ["term", "area", "n", "alone", "some"])
+            alone += np.bincount(term[((top > 0) & (borne == 0))[sent]], minlength=len(alone))
+        return np.column_stack([alone, n.reshape(-1, k)]).astype(float)
 
-    counted = sents.select("sents").mapInArrow(run, "term int, area int, n long, alone long, some long")
-    return counted.groupBy("term", "area").agg(F.sum("n").alias("n"), F.sum("alone").alias("alone"), F.sum("some").alias("some"))
+    def finish(at: int, m: np.ndarray) -> pa.RecordBatch:
+        alone, n = m[:, 0], m[:, 1:]
+        borne = n[:, 1:].sum(1) + alone
+        top = n[:, 1:].max(1, initial=0.0)
+        share = top / np.maximum(n.sum(1), 1)
+        weighed = (share >= least_share) & (top >= max(3, least / 2))
+        t = np.flatnonzero(weighed | (borne >= max(5, least)) & (alone >= PASSING * borne))
+        area = areas[1 + n[t, 1:].argmax(1)] if k > 1 else np.zeros(len(t), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(at + t, pa.int32()), pa.array(area, pa.int32()), pa.array(share[t]), pa.array(weighed[t])], ["term", "area", "share", "weighed"])
 
-
-def _weigh(sents: DataFrame, weights: dict[int, tuple[int, float]], known: np.ndarray, least_share: float, least: float) -> tuple[dict[int, tuple[int, float]], np.ndarray]:
-    """Weights by the sentences that hold a term, and the terms of passing mentions."""
-    counts = _sentence_counts(sents, weights, known)
-    per = counts.groupBy("term").agg(
-        F.max_by("area", F.when(F.col("area") > 0, F.struct("n", "area"))).alias("area"), F.max(F.when(F.col("area") > 0, F.col("n"))).alias("n"), F.sum("n").alias("all"), F.sum("alone").alias("alone"), F.sum("some").alias("some")
-    )
-    weighed = (F.col("n") / F.col("all") >= least_share) & (F.col("n") >= max(3, least / 2))
-    passing = (F.col("some") >= max(5, least)) & (F.col("alone") >= PASSING * F.col("some"))
-    rows = small_rows(per.select("term", "area", (F.col("n") / F.col("all")).alias("share"), F.coalesce(weighed, F.lit(False)).alias("weighed"), passing.alias("passing")).where("weighed OR passing"), MAX_TERMS)
-    return {r["term"]: (r["area"], r["share"]) for r in rows if r["weighed"]}, np.array([r["term"] for r in rows if r["passing"] and not r["weighed"]], np.int64)
+    rows = small_rows(_summed(sents.select("sents"), partial, finish, "term int, area int, share double, weighed boolean"), len(known))
+    return {r["term"]: (r["area"], r["share"]) for r in rows if r["weighed"]}, np.array([r["term"] for r in rows if not r["weighed"]], np.int64)
 
 
 def _areas(sents: DataFrame, weights: dict[int, tuple[int, float]], passing: np.ndarray, known: np.ndarray) -> DataFrame:
@@ -322,11 +344,10 @@ def document_areas(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     without labels or documents the result is empty; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(r"\w|[^\x00-\x7f]"))
-    texts, votes = stored(_distinct_texts(rows)), cut(_text_votes(rows, labels))
-    nothing = docs.sparkSession.createDataFrame([], f"`{id_col}` long, area_id int")
+    texts = stored(_distinct_texts(rows, labels))
     n = texts.count()
-    if not n or not votes.head(1):
-        return nothing
+    if not n or not texts.where("votes IS NOT NULL").head(1):
+        return docs.sparkSession.createDataFrame([], f"`{id_col}` long, area_id int")
     least = max(MIN_DOCS, MIN_SHARE * n)
     # no more than (terms of a document) / MIN_SHARE terms and (sentences of a document) / FORMULA sentences can pass
     frequent = F.when(F.col("sentence"), F.col("n") > max(8, FORMULA * n)).otherwise((F.col("n") >= least) & (F.col("n") <= max(MIN_DOCS, MAX_SHARE * n)))
@@ -334,7 +355,7 @@ def document_areas(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     formulas = np.array(sorted(r["h"] for r in counted if r["sentence"]), np.int64)
     known = np.array(sorted(r["h"] for r in counted if not r["sentence"]), np.int64)
     sents = stored(_sentence_terms(texts, formulas, known))
-    weights, passing = _leaf_terms(sents, votes, len(known)), np.zeros(0, np.int64)
+    weights, passing = _leaf_terms(sents, len(known)), np.zeros(0, np.int64)
     for least_share in ROUNDS:
         weights, passing = _weigh(sents, weights, known, least_share, least)
     by_text = _areas(sents, weights, passing, known)

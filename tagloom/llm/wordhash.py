@@ -16,7 +16,7 @@ from functools import cache
 import numpy as np
 
 #: Characters handled at once; a longer text is cut at line ends only.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _NEXT = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -144,30 +144,61 @@ def terms(texts: list[str]) -> Terms:
     return Terms(sent_doc, sent_hash, s, h)
 
 
-def once(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (group, value) in the order of value, then group; groups must come in ascending order per value or mixed."""
-    order = np.lexsort((group, value))
-    g, v = group[order], value[order]
-    new = np.ones(len(v), bool)
-    new[1:] = (v[1:] != v[:-1]) | (g[1:] != g[:-1])
-    return g[new], v[new]
+def once(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The values (64 bits), each once per group, in no order."""
+    pair = _mixed(value.view(np.uint64) + _NEXT * group.astype(np.uint64))
+    order = np.argsort(pair)
+    pair = pair[order]
+    return value[order[np.append(True, pair[1:] != pair[:-1])[: len(pair)]]]
 
 
-def pieces(texts: list[str | None]) -> Iterator[tuple[int, list[str], np.ndarray]]:
-    """(first document, texts, documents): the texts in chunks; a longer text is cut at line ends, so no sentence is divided."""
-    held, docs, size, start = [], [], 0, 0
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and how often each stands; a sort is much faster than a hash table here."""
+    v = np.sort(values)
+    at = np.flatnonzero(np.append(True, v[1:] != v[:-1])[: len(v)])
+    return v[at], np.diff(np.append(at, len(v)))
+
+
+class Lookup:
+    """Numbers of known hashes by their highest bits; hashes that share these are searched."""
+
+    BITS = 20
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes.view(np.uint64)
+        self.order = np.argsort(self.hashes, kind="stable")
+        self.sorted = self.hashes[self.order]
+        place = self.hashes >> np.uint64(64 - self.BITS)
+        self.slot = np.zeros(1 << self.BITS, np.int32)
+        self.slot[place] = np.arange(1, len(hashes) + 1)
+        self.slot[np.flatnonzero(np.bincount(place.astype(np.int64), minlength=1 << self.BITS) > 1)] = -1
+
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in h, numbers) of the hashes that are known."""
+        slot = self.slot[h >> np.uint64(64 - self.BITS)]
+        at = np.flatnonzero(slot)
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        number = slot[at].astype(np.int64) - 1
+        shared = np.flatnonzero(number < 0)
+        number[shared] = self.order[np.minimum(np.searchsorted(self.sorted, h[at[shared]]), len(self.sorted) - 1)]
+        hit = self.hashes[number] == h[at]
+        return at[hit], number[hit]
+
+
+def pieces(texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """(texts, documents): the texts in chunks, and the number of each; a longer text is cut at line ends, so no sentence is divided."""
+    held, docs, size = [], [], 0
     for i, t in enumerate(texts):
         for part in _parts(t or ""):
             if held and size + len(part) > CHUNK:
-                yield start, held, np.array(docs)
+                yield held, np.array(docs)
                 held, docs, size = [], [], 0
-            if not held:
-                start = i
             held.append(part)
             docs.append(i)
             size += len(part) + 1
     if held:
-        yield start, held, np.array(docs)
+        yield held, np.array(docs)
 
 
 def _parts(text: str) -> Iterator[str]:

@@ -37,9 +37,9 @@ def test_sentences_and_terms():
     want = [plain(x) for x in texts]
     assert np.bincount(t.sent_doc, minlength=len(texts)).tolist() == [len(w) for w in want]
     flat = [w for d in want for w in d]
-    sent, term = wordhash.once(t.term_sent, t.term_hash)
+    assert len(wordhash.once(t.term_sent, t.term_hash)) == sum(map(len, flat))
     got = [set() for _ in flat]
-    for s, h in zip(sent.tolist(), term.tolist()):
+    for s, h in zip(t.term_sent.tolist(), t.term_hash.tolist()):
         got[s].add(h)
     assert [len(g) for g in got] == [len(f) for f in flat]
     # one hash for each term, wherever it stands
@@ -54,15 +54,18 @@ def test_long_text_is_cut_at_line_ends(monkeypatch):
     text = "\n".join(f"line {chr(97 + i % 26)} of many." for i in range(200))
     whole = wordhash.terms([text])
     monkeypatch.setattr(wordhash, "CHUNK", 100)
-    parts = [(doc, wordhash.terms(texts)) for _, texts, doc in wordhash.pieces([None, text, "end"])]
+    parts = [(doc, wordhash.terms(texts)) for texts, doc in wordhash.pieces([None, text, "end"])]
     assert np.concatenate([t.sent_hash for _, t in parts]).tolist()[:-1] == whole.sent_hash.tolist()
     assert {d for docs, _ in parts for d in docs.tolist()} == {0, 1, 2}
 
 
 def test_no_areas_without_leaves(spark, monkeypatch):
     """Areas come through the leaves only."""
-    docs = spark.createDataFrame([(i, "\n".join(f"{'qzxw'[i % 4]}{chr(97 + i % 26)} on the {w} {chr(97 + j)}{i % 7}." for j, w in enumerate((["fugue", "choir"], ["scan", "dosage"])[i % 2] * 3))) for i in range(80)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2 + 1) for i in range(60)], "doc_id long, area_id int")
-    assert subjects.document_areas(docs, labels).count() >= 60
+    words = [["fugue", "cadence", "bass line", "choir", "score sheet", "aria"], ["insulin", "vaccine", "fracture", "scan", "dosage", "clinic"], ["plaintiff", "verdict", "statute", "jury box", "appeal", "bail"]]
+    rng = random.Random(3)
+    line = lambda w: f"{''.join(rng.choice('qzxw') for _ in range(5))} about the {w} {''.join(rng.choice('kjvy') for _ in range(5))}."
+    docs = spark.createDataFrame([(i, "\n".join(line(w) for w in rng.sample(words[i % 3], 3) * 2)) for i in range(150)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 + 1) for i in range(120)], "doc_id long, area_id int")
+    assert subjects.document_areas(docs, labels).count() >= 120
     monkeypatch.setattr(subjects, "_leaf_terms", lambda *a: {})
     assert subjects.document_areas(docs, labels).count() == 0
