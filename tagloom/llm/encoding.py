@@ -24,7 +24,6 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tagloom.functions.textfold import BLANKS, INVISIBLE, LOOKALIKE_CYRILLIC, LOOKALIKE_GREEK
 from tagloom.session import cut, small_rows
@@ -310,10 +309,30 @@ def judge(token: str, n: int, word: str, n_word: int, kind: str, known: dict[str
     return 1 if not n_word and apart and better > math.log(10) and _settle(_unmask(token)) == token else 0
 
 
-def garbled_tokens(distinct: DataFrame) -> DataFrame:
-    """(token, original): tokens of ``distinct`` (token, n) that are garbled; original is null where characters are lost for good."""
-    usable = F.udf(sound, T.BooleanType())  # over distinct tokens only
-    clean = distinct.where(usable("token")).select("token", "n", F.concat(F.lit("^"), F.lower("token"), F.lit("$")).alias("w"))
+def spread(df: DataFrame, col: str, rows: int) -> DataFrame:
+    """``df`` in so many partitions as its rows are worth; a number that is stated is not merged again at run time."""
+    tasks = min(max(df.sparkSession.sparkContext.defaultParallelism, rows // 50_000), max(1, rows // 500))
+    return df.repartition(tasks, F.col(col))
+
+
+def _clean_words(distinct: DataFrame) -> DataFrame:
+    """(token, n): the tokens that look like words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([sound(t) for t in b.column(0).to_pylist()], pa.bool_()))
+
+    return distinct.select("token", "n").mapInArrow(run, "token string, n long")
+
+
+def garbled_tokens(distinct: DataFrame, ascii_words: DataFrame) -> DataFrame:
+    """(token, original, in_corpus): tokens of ``distinct`` (token, n) that are garbled.
+
+    ``original`` is null where characters are lost for good. ``in_corpus`` is false where the original is no word of
+    the corpus but the token's own inverse. ``ascii_words`` (token, n) are the words whose only garbled forms are wide.
+    """
+    rows = distinct.count()
+    clean = _clean_words(spread(distinct, "token", rows)).select("token", "n", F.concat(F.lit("^"), F.lower("token"), F.lit("$")).alias("w"))
     used = (
         clean.where(~F.col("w").rlike("[\\u2e80-\\ud7ff]"))
         .select(F.explode(F.expr("array_distinct(transform(sequence(1, length(w) - 1), i -> substring(w, i, 2)))")).alias("p"), "n")
@@ -326,8 +345,8 @@ def garbled_tokens(distinct: DataFrame) -> DataFrame:
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = _table_rows(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), known)
-            while chunk := list(itertools.islice(rows, 50_000)):
+            made = _table_rows(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), known)
+            while chunk := list(itertools.islice(made, 50_000)):
                 form, word, n, kind = zip(*chunk)
                 yield pa.RecordBatch.from_arrays([pa.array(form, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64()), pa.array(kind, pa.string())], ["form", "word", "n_word", "kind"])
 
@@ -337,13 +356,27 @@ def garbled_tokens(distinct: DataFrame) -> DataFrame:
             credit = [judge(*row, known) for row in zip(*cols)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(credit, pa.int32())], ["token", "word", "n_word", "credit"])
 
-    # the words may be few and the forms many: spread them before the table is made
-    forms = distinct.repartition(F.col("token")).mapInArrow(table, "form string, word string, n_word long, kind string")
+    # the words may be few and the forms many: they are spread before the table is made
+    forms = spread(distinct, "token", rows).mapInArrow(table, "form string, word string, n_word long, kind string").unionByName(_wide_forms(ascii_words))
     pairs_ = distinct.join(forms, distinct["token"] == forms["form"]).groupBy("token", "n", "word", "kind").agg(F.max("n_word").alias("n_word")).select("token", "n", "word", "n_word", "kind")
     judged = pairs_.mapInArrow(check, "token string, word string, n_word long, credit int").where("credit > 0")
-    best = judged.groupBy("token").agg(F.max_by("word", F.struct("credit", "n_word", "word")).alias("original"))
-    gone = distinct.where(F.col("token").contains("�") | F.col("token").rlike(r"\p{L}\?+\p{L}|^\?+\p{L}")).select("token", F.lit(None).cast("string").alias("original"))
-    return best.unionByName(gone).groupBy("token").agg(F.max("original").alias("original"))
+    best = judged.groupBy("token").agg(F.max(F.struct("credit", "n_word", "word")).alias("best")).select("token", F.col("best.word").alias("original"), (F.col("best.n_word") > 0).alias("in_corpus"))
+    gone = distinct.where(F.col("token").contains("�") | F.col("token").rlike(r"\p{L}\?+\p{L}|^\?+\p{L}")).select("token", F.lit(None).cast("string").alias("original"), F.lit(False).alias("in_corpus"))
+    return best.unionByName(gone).groupBy("token").agg(F.max("original").alias("original"), F.max("in_corpus").alias("in_corpus"))
+
+
+def _wide_forms(words: DataFrame) -> DataFrame:
+    """(form, word, n_word, kind): ASCII words written as UTF-16 and read bytewise, or with their bytes swapped."""
+    letters = F.split("token", "")
+    interleaved = F.array_join(letters, "\x00")
+    swapped = F.decode(F.encode("token", "UTF-16LE"), "UTF-16BE")
+    return words.where(F.length("token") > 1).select(F.explode(F.array(interleaved, swapped)).alias("form"), F.col("token").alias("word"), F.col("n").alias("n_word"), F.lit("wide").alias("kind"))
+
+
+def _ascii_words(values: DataFrame, value: str) -> DataFrame:
+    """(token, n): the distinct words without a character outside ASCII, where the table holds texts read as UTF-16 at all."""
+    words = values.select(F.explode(F.split(value, "[ \\x00]+")).alias("token")).where(F.col("token").rlike("^[\\x21-\\x7e]+$"))
+    return words.groupBy("token").agg(F.count("*").alias("n"))
 
 
 FIELDS = ["title", "artist", "album"]
@@ -356,17 +389,19 @@ def long_fields(tags: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def garbled_values(tags: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
-    """(rec_id, fieldname, value, repaired): values with at least one garbled word.
+    """(rec_id, fieldname, value, repaired, in_corpus): values with at least one garbled word.
 
     ``repaired`` has the originals in place of the garbled words; words whose
-    characters are lost stay as they are. Null and empty values, values without
+    characters are lost stay as they are. ``in_corpus`` is true where every
+    original is a clean word of the corpus, false where one was had only by
+    decoding the garbled word itself, or is lost. Null and empty values, values without
     words and empty tables give no rows; repeated rows give their case once.
     """
     values = long_fields(tags, fields).where(F.col("value").rlike(_POSSIBLE))
     found = tokens(values, "value")
     distinct = cut(found.groupBy("token").agg(F.count("*").alias("n")))
-    bad = cut(garbled_tokens(distinct))
-    hits = found.join(bad, "token").groupBy("rec_id", "fieldname", "value").agg(F.collect_list(F.struct("token", "original")).alias("w"))
+    bad = cut(garbled_tokens(distinct, _ascii_words(long_fields(tags, fields), "value")))
+    hits = found.join(bad, "token").groupBy("rec_id", "fieldname", "value").agg(F.collect_list(F.struct("token", "original")).alias("w"), F.min("in_corpus").alias("in_corpus"))
     known = F.map_from_entries(F.array_distinct(F.filter("w", lambda x: x["original"].isNotNull())))
     word = F.transform(F.split("value", SEPARATOR), lambda x: F.coalesce(F.try_element_at(known, x), F.when(F.try_element_at(known, bare(x)).isNotNull(), F.replace(x, bare(x), F.try_element_at(known, bare(x)))), x))
-    return hits.select("rec_id", "fieldname", "value", F.when(F.col("value").rlike(_WIDE), F.replace(F.array_join(word, " "), F.lit("\x00"), F.lit(""))).otherwise(F.array_join(word, " ")).alias("repaired"))
+    return hits.select("rec_id", "fieldname", "value", F.when(F.col("value").rlike(_WIDE), F.replace(F.array_join(word, " "), F.lit("\x00"), F.lit(""))).otherwise(F.array_join(word, " ")).alias("repaired"), "in_corpus")
