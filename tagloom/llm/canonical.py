@@ -1,34 +1,39 @@
 """Mapping freely entered values to a canonical list, unmatched values reported.
 
 Method: a multi-pattern automaton (Aho-Corasick) over the canonical names and
-their aliases finds embedded mentions; the longest match wins and matches don't
-overlap. Values without a mention go to token-set similarity, which knows
-swapped words, abbreviated words and single typing errors.
+their aliases finds embedded mentions; the longest match wins. Values without a
+mention go to token-set similarity: common words are set aside, the rest may be
+swapped, abbreviated or mistyped. Letter counts block the comparison: a name whose
+letters differ by more than the allowed edits can make is not compared.
 
-The canonical list is a dimension of bounded size and travels with the tasks;
-the operator is a projection that judges each distinct value of a batch once.
+The canonical list is a dimension of bounded size and travels with the tasks; each
+distinct value is judged once.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tagloom.llm.encoding import spread
 from tagloom.llm.plain import plain_form
 from tagloom.operators.packed import MAX_PROTECTED, genre_items
-from tagloom.session import small_rows
+from tagloom.session import cut, small_rows
 
 #: Edits that a value of at least so many letters may have; shorter ones must be exact.
 EDITS = ((15, 3), (7, 2), (4, 1))
 #: Least letters of an abbreviated word.
 SHORTEST = 3
+#: Buckets of letter counts.
+BUCKETS = 64
 
 _NUMBER = re.compile(r"^[(\[#]*\s*(?:no\.?\s*)?(\d{1,9})\s*[)\]]*$", re.I)
 _LEAD = re.compile(r"^\(\s*(\d{1,9})\s*\)\s*(?=\S)")
@@ -59,6 +64,11 @@ def distance(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
+def _letters(text: str) -> np.ndarray:
+    """How often each letter stands in a text; letters share buckets, which makes no two texts more unlike."""
+    return np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) % BUCKETS, minlength=BUCKETS)
+
+
 def allowed(length: int) -> int:
     return next((e for least, e in EDITS if length >= least), 0)
 
@@ -87,47 +97,55 @@ class Matcher:
             aliases.setdefault(f" {''.join(w)} ", ident)
             if len(w) > 2 and any(len(x) == 1 for x in w):
                 aliases.setdefault(f" {' '.join(x for x in w if len(x) > 1)} ", ident)
+        self.letters = np.array([_letters("".join(w)) for _, w in self.forms]).reshape(-1, BUCKETS)
         for alias, ident in aliases.items():
             self.machine.add_word(alias, (ident, len(alias)))
         if aliases:
             self.machine.make_automaton()
         self.judge = lru_cache(maxsize=200_000)(self._judge)
 
-    def mentions(self, text: str) -> list[int]:
-        """Ids of the longest non-overlapping mentions, in order of appearance."""
+    def longest(self, text: str) -> int | None:
+        """Id of the longest mention; of equally long ones the first."""
         if not self.forms:
-            return []
-        hits = [(end - size + 1, size, ident) for end, (ident, size) in self.machine.iter(text)]
-        taken: list[tuple[int, int, int]] = []
-        for start, size, ident in sorted(hits, key=lambda h: (-h[1], h[0])):
-            # neighbours share the blank between them
-            if all(start + size - 1 <= s or s + n - 1 <= start for s, n, _ in taken):
-                taken.append((start, size, ident))
-        return [ident for _, _, ident in sorted(taken)]
+            return None
+        hits = [(-size, end, ident) for end, (ident, size) in self.machine.iter(text)]
+        return min(hits)[2] if hits else None
+
+    def near(self, bare: list[str], most: int) -> list[int]:
+        """Positions of the names whose letters differ from those of the value by no more than so many edits can make; none beyond is nearer."""
+        letters = _letters("".join(bare))
+        return np.flatnonzero(np.abs(self.letters - letters).sum(1) <= 2 * most).tolist()
 
     def similar(self, w: list[str]) -> int:
-        """Entry whose word set is nearest within the allowed edits, 0 for none; ties go to none."""
+        """Entry whose set of words is nearest within the allowed edits, 0 for none; ties go to none."""
         bare = [x.rstrip(".") for x in w]
-        joined, ordered = "".join(bare), "".join(sorted(bare))
-        most = allowed(len(joined))
+        short = any(x.endswith(".") for x in w)
+        most = allowed(len("".join(bare)))
         best: list[tuple[int, int]] = []
-        for ident, name in self.forms:
-            whole = "".join(name)
-            if abs(len(whole) - len(joined)) > most and not any(x.endswith(".") for x in w):
-                continue
-            d = distance(joined, whole, most)
-            if d > most and len(bare) == len(name) and len(name) > 1:
-                d = self._by_words(bare, name, most)
-            if d > most and ordered != joined:
-                d = distance(ordered, "".join(sorted(name)), min(most, 1))
-                d = d if d <= min(most, 1) else most + 1
-            if d > most and any(x.endswith(".") for x in w) and len(w) == len(name):
+        for i in range(len(self.forms)) if short else self.near(bare, most):
+            ident, name = self.forms[i]
+            d = self.words_apart(bare, name, most)
+            if d > most and short and len(w) == len(name):
                 d = 0 if all(n.startswith(b) and len(b) >= SHORTEST if x.endswith(".") and n != b else distance(b, n, 1) <= (len(n) > 3) for x, b, n in zip(w, bare, name)) else most + 1
             if d <= most:
                 best.append((d, ident))
         best.sort()
         return best[0][1] if best and (len(best) == 1 or best[1][0] > best[0][0]) else 0
 
+    def words_apart(self, a: list[str], b: list[str], most: int) -> int:
+        """Edits between two sets of words: common words are set aside, the rest is compared joined, in any order, and word by word."""
+        rest = list(b)
+        own = [x for x in a if x not in rest or rest.remove(x)]
+        d = distance("".join(own), "".join(rest), most)
+        if d > most:
+            d = distance("".join(a), "".join(b), most)
+        if d > most and len(own) == len(rest) > 1:
+            d = self._by_words(own, rest, most)
+        if d > most and len(a) > 1:
+            d = distance("".join(sorted(a)), "".join(sorted(b)), min(most, 1))
+            d = d if d <= min(most, 1) else most + 1
+        return d
+
     @staticmethod
     def _by_words(a: list[str], b: list[str], most: int) -> int:
         """Edits when words may change places: each word goes to its nearest free one."""
@@ -148,9 +166,8 @@ class Matcher:
         rest = text[lead.end() :] if lead else text
         w = words(rest)
         bare = [x.rstrip(".") for x in w]
-        found = self.mentions(f" {' '.join(bare)} ")
-        if found:
-            return found[0]
+        if (ident := self.longest(f" {' '.join(bare)} ")) is not None:
+            return ident
         if not w:
             return self.by_number.get(int(lead.group(1)), 0) if lead else 0
         if ident := self.similar(w):
@@ -174,17 +191,18 @@ def mapped_values(tags: DataFrame, genres: DataFrame) -> DataFrame:
     """
     rows = [tuple(r) for r in small_rows(genres.select("genre_id", "genre_no", "genre_name").where("genre_id IS NOT NULL AND genre_name IS NOT NULL"), MAX_PROTECTED)]
     names = [r[2] for r in rows]
-    state: dict[str, Matcher] = {}
 
-    @F.pandas_udf(T.IntegerType())
-    def to_entry(s: pd.Series) -> pd.Series:
-        if "m" not in state:
-            state["m"] = Matcher(rows)
-        known = {v: state["m"].judge(v) for v in s.dropna().unique()}
-        return pd.Series([known.get(v) for v in s], index=s.index, dtype="Int32")
+    def to_entry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(rows)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([matcher.judge(v) for v in b.column(0).to_pylist()], pa.int32())], ["genre", "genre_id"])
 
     free = tags.select("rec_id", "genre").where(F.col("genre").isNotNull() & F.col("genre").rlike(r"(?U)[^\s\p{Cf}]"))
     if names:
         free = free.where(~F.col("genre").isin(names))
     single = free.where(F.size(genre_items(F.col("genre"), names)) < 2)
-    return single.distinct().select("rec_id", "genre", to_entry("genre").alias("genre_id"))
+    single = single.distinct()
+    # each distinct value is judged once, however many rows have it, in tasks enough for a costly step
+    values = cut(single.select("genre").distinct())
+    judged = spread(values, "genre", values.count()).mapInArrow(to_entry, "genre string, genre_id int")
+    return single.join(judged, "genre").select("rec_id", "genre", "genre_id")
