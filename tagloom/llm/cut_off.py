@@ -3,12 +3,14 @@
 Method: word trigrams inside texts against trigrams at their ends, in pure SQL (on the plain, repaired texts).
 A text whose final trigram goes on in many other texts but hardly ever ends one
 was cut. A cut inside a word leaves a fragment, so a trigram also counts as
-going on where its last word is the beginning of a longer one. Rare trigrams fall
-back to the last two words and the last word. Values whose last word has a kana or
+going on where its last word is the beginning of a longer one. The trigram decides
+where it is frequent; rare ones fall back to the last two words, and these to the
+last word. Values whose last word has a kana or
 CJK character are no fragments: cuts in these scripts are not found.
 
-Counts run over all texts. They are taken per distinct trigram before prefixes
-are formed, so frequent texts and words are gone before anything is multiplied.
+Counts run over all texts. They are taken per distinct trigram before beginnings
+are formed, and beginnings after two words only for the ends in question, so
+frequent texts and words are gone before anything is multiplied.
 """
 
 from __future__ import annotations
@@ -25,14 +27,16 @@ FIELDS = ["title", "album"]
 
 #: A word inside texts this many times as often as at their end doesn't end one.
 INSIDE = 10
+#: ... and a trigram so many times as often where its last word does end texts.
+FAR = 100
 #: A fragment begins this many times as many words as texts end with it, ...
 BEGINS = 3
 #: ... and is itself a word inside texts less often than one in this many.
 RARELY = 20
 #: A text read this often, whose last words go on nowhere, is whole.
 WHOLE = 3
-#: Longer tokens are no words; they form no prefixes.
-WORD = 100
+#: A trigram, or the last two words, is frequent when it goes on, or ends a text, so often.
+ENOUGH = 4
 #: A mark that so many sources read at the same place belongs to the text, unless a word is broken off before it.
 SOURCES = 2
 #: Marks of a cut.
@@ -40,31 +44,33 @@ MARK = r"\s*(?:\.{2,}|…)$"
 _EAST = r"[぀-ヿ㐀-鿿]"
 
 
-def _grams(texts: DataFrame) -> DataFrame:
-    """(a, b, w, inside, ends, inside_n, ends_n) per distinct trigram of the texts (norm, n)."""
-    t = texts.withColumn("t", F.concat(F.array(F.lit("^"), F.lit("^")), F.split("norm", " ")))
-    each = t.select("n", "t", F.explode(F.sequence(F.lit(2), F.size("t") - 1)).alias("i"))
-    last = F.col("i") == F.size("t") - 1
-    g = each.select(F.get("t", F.col("i") - 2).alias("a"), F.get("t", F.col("i") - 1).alias("b"), F.get("t", F.col("i")).alias("w"), last.alias("last"), "n")
-    return g.groupBy("a", "b", "w").agg(
-        F.count_if(~F.col("last")).alias("inside"), F.count_if("last").alias("ends"), F.coalesce(F.sum(F.when(~F.col("last"), F.col("n"))), F.lit(0)).alias("inside_n"), F.coalesce(F.sum(F.when(F.col("last"), F.col("n"))), F.lit(0)).alias("ends_n")
-    )
+_COUNTS = ("i", "t", "l", "i_n", "t_n", "l_n")
+#: A bracket that is not closed.
+_OPEN = r"\([^)]*$"
 
 
-def _level(grams: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, x, i, t, l, i_n, t_n, l_n): x inside, at the end, and as the beginning of a longer word; per text and per reading."""
-    whole = grams.groupBy(*keys, F.col("w").alias("x")).agg(F.sum("inside").alias("i"), F.sum("ends").alias("t"), F.sum("inside_n").alias("i_n"), F.sum("ends_n").alias("t_n"))
-    size = F.length("x")
-    longer = (
-        whole.where((size > 1) & (size <= WORD))
-        .select(*keys, F.explode(F.transform(F.sequence(F.lit(1), size - 1), lambda k: F.substring("x", F.lit(1), k))).alias("x"), (F.col("i") + F.col("t")).alias("l"), (F.col("i_n") + F.col("t_n")).alias("l_n"))
-        .groupBy(*keys, "x")
-        .agg(F.sum("l").alias("l"), F.sum("l_n").alias("l_n"))
-    )
+def _trigram_counts(texts: DataFrame) -> DataFrame:
+    """(a, b, x, i, t, i_n, t_n, open) per distinct trigram of the texts (norm, n): texts that hold it inside and at the end, and their readings."""
+    t = texts.withColumn("w", F.concat(F.array(F.lit("^"), F.lit("^")), F.split("norm", " ")))
+    each = t.select("n", F.col("norm").rlike(_OPEN).alias("open"), "w", F.explode(F.sequence(F.lit(2), F.size("w") - 1)).alias("k"))
+    last = F.col("k") == F.size("w") - 1
+    g = each.select(F.get("w", F.col("k") - 2).alias("a"), F.get("w", F.col("k") - 1).alias("b"), F.get("w", F.col("k")).alias("x"), last.alias("last"), (F.col("open") & last).alias("open"), "n")
     zero = F.lit(0).cast("long")
-    both = whole.select(*keys, "x", "i", "t", zero.alias("l"), "i_n", "t_n", zero.alias("l_n")).unionByName(longer.select(*keys, "x", zero.alias("i"), zero.alias("t"), "l", zero.alias("i_n"), zero.alias("t_n"), "l_n"))
-    total = both.groupBy(*keys, "x").agg(*[F.sum(c).alias(c) for c in ("i", "t", "l", "i_n", "t_n", "l_n")])
-    return total.where("t > 0")  # only ends of texts are asked for
+    return g.groupBy("a", "b", "x").agg(
+        F.count_if(~F.col("last")).alias("i"), F.count_if("last").alias("t"), F.coalesce(F.sum(F.when(~F.col("last"), F.col("n"))), zero).alias("i_n"), F.coalesce(F.sum(F.when(F.col("last"), F.col("n"))), zero).alias("t_n"), F.bool_or("open").alias("open")
+    )
+
+
+def _with_beginnings(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x, counts): each row, and one for each beginning of its last word, in which its counts are those of a longer word."""
+    own = F.struct(F.col("x"), *[F.col(c) if c in ("i", "t", "i_n", "t_n") else F.lit(0).cast("long").alias(c) for c in _COUNTS])
+    longer = lambda k: F.struct(F.substring("x", F.lit(1), k).alias("x"), *[(F.col("i") + F.col("t")).alias(c) if c == "l" else (F.col("i_n") + F.col("t_n")).alias(c) if c == "l_n" else F.lit(0).cast("long").alias(c) for c in _COUNTS])
+    beginnings = F.when(F.length("x") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.length("x") - 1, F.lit(1))), longer))
+    return counts.select(*keys, F.inline(F.concat(F.array(own), F.coalesce(beginnings, F.array().cast(f"array<struct<x:string,{','.join(c + ':bigint' for c in _COUNTS)}>>")))))
+
+
+def _total(rows: DataFrame, keys: list[str], level: str) -> DataFrame:
+    return rows.groupBy(*keys, "x").agg(*[F.sum(c).alias(c + level) for c in _COUNTS])
 
 
 def _normal(value: Column) -> tuple[Column, Column]:
@@ -73,25 +79,44 @@ def _normal(value: Column) -> tuple[Column, Column]:
     return text, F.regexp_replace(text, MARK, "")
 
 
+def judged_trigrams(texts: DataFrame) -> DataFrame:
+    """(a, b, x, level, cut, torn): final trigrams of the distinct texts (norm, n) that may be cut ends.
+
+    ``level`` says what decided: 3 the trigram, 2 the last two words, 1 the last word. ``torn`` is true for the
+    beginning of a longer word. An end that no level calls cut can still be cut where a bracket is open.
+    """
+    grams = cut(_trigram_counts(texts))
+    words = _total(_with_beginnings(grams.groupBy("x").agg(*[F.sum(c).alias(c) for c in ("i", "t", "i_n", "t_n")]), []), [], "0")
+    letters = F.col("x").rlike(r"\p{L}") & ~F.col("x").rlike(_EAST + "|\ufffd")
+    torn = letters & ((F.col("i0") * RARELY < F.col("l0")) & (F.col("l0") >= BEGINS * F.col("t0")) | (F.col("i0") == 0) & (F.col("l0") > 0))
+    inner = F.col("i0") >= INSIDE * F.col("t0")
+    finals = grams.where("t > 0").select("a", "b", "x", F.col("i").alias("i3"), F.col("t").alias("t3"), "open").join(words.where("t0 > 0"), "x")
+    # a word that does end texts is cut only where the trigram never ends one but by a cut
+    goes_on = (F.col("a") != "^") & (F.col("i3") >= FAR * F.col("t3"))
+    near = cut(finals.where(torn | inner | goes_on | F.col("open") & (F.col("l0") > 0)).select("a", "b", "x", "open", torn.alias("torn"), inner.alias("inner"), "i0", "t0", "l0"))
+    # beginnings of the words after two others are formed only where such an end is asked for
+    asked = _with_beginnings(grams, ["a", "b"]).join(near.select("x").distinct(), "x", "left_semi")
+    three = _total(asked, ["a", "b"], "3")
+    two = three.groupBy("b", "x").agg(*[F.sum(c + "3").alias(c + "2") for c in _COUNTS])
+    known = near.join(two, ["b", "x"]).join(three, ["a", "b", "x"])
+    # the trigram decides where it is frequent: it goes on, as it stands or in a longer word, and hardly ever ends a text
+    onward = lambda k: F.col("i" + k) + F.when(F.col("torn"), F.col("l" + k)).otherwise(0)
+    full = {"3": F.col("a") != "^", "2": F.col("b") != "^"}  # as many words stand in the text
+    says = lambda k: F.when(~full[k], None).when((onward(k) >= F.when(F.col("torn"), BEGINS).when(F.col("inner"), INSIDE).otherwise(FAR) * F.col("t" + k)) & (onward(k) >= ENOUGH), True).when((F.col("t" + k) >= ENOUGH) & (onward(k) * INSIDE < F.col("t" + k)), False)
+    nowhere = (F.col("i2") + F.col("l2") == 0) & (F.col("i_n3") + F.col("l_n3") == 0)
+    by_word = (F.col("torn") & ((F.col("l0") >= BEGINS * F.col("t0")) | (F.col("l_n3") >= 5 * F.col("t_n3"))) | F.col("inner")) & ~((F.col("t_n3") >= WHOLE) & nowhere)
+    level = F.when(says("3").isNotNull(), 3).when(says("2").isNotNull(), 2).otherwise(1)
+    whole = (F.col("t_n3") >= WHOLE) & nowhere
+    return known.select("a", "b", "x", level.alias("level"), F.coalesce(says("3"), says("2"), by_word).alias("cut"), "torn", ((F.col("l0") > 0) & ~whole).alias("closes"))
+
+
 def cut_texts(texts: DataFrame) -> DataFrame:
-    """(norm, broken): those of the distinct texts (norm, n) that were cut; whether inside a word or a bracket."""
-    grams = cut(_grams(texts))
-    two = grams.groupBy("b", "w").agg(*[F.sum(c).alias(c) for c in ("inside", "ends", "inside_n", "ends_n")])
-    one = two.groupBy("w").agg(*[F.sum(c).alias(c) for c in ("inside", "ends", "inside_n", "ends_n")])
-    named = lambda df, k: df.select(*[c for c in df.columns if c in ("a", "b", "x")], *[F.col(c).alias(f"{c}{k}") for c in ("i", "t", "l", "i_n", "t_n", "l_n")])
-    s0, s1, s2 = named(_level(one, []), 0), named(_level(two, ["b"]), 1), named(_level(grams, ["a", "b"]), 2)
+    """(norm, broken, level): those of the distinct texts (norm, n) that were cut; whether inside a word or a bracket; what decided."""
     t = F.concat(F.array(F.lit("^"), F.lit("^")), F.split("norm", " "))
-    ends = texts.select("norm", "n", F.element_at(t, -3).alias("a"), F.element_at(t, -2).alias("b"), F.element_at(t, -1).alias("x"))
-    fragment = F.col("x").rlike(r"\p{L}") & ~F.col("x").rlike(_EAST + "|\ufffd") & ((F.col("i0") * RARELY < F.col("l0")) & (F.col("l0") >= BEGINS * F.col("t0")) | (F.col("i0") == 0) & (F.col("l0") > 0))
-    inner = F.col("i0") >= INSIDE * F.col("t0")
-    near = ends.join(s0, "x").where(fragment | inner | F.col("norm").rlike(r"\([^)]*$") & (F.col("l0") > 0))
-    known = near.join(s1, ["b", "x"]).join(s2, ["a", "b", "x"])
+    ends = texts.select("norm", F.element_at(t, -3).alias("a"), F.element_at(t, -2).alias("b"), F.element_at(t, -1).alias("x"))
     # an opened bracket that only a longer word closes
-    opened = F.col("norm").rlike(r"\([^)]*$") & (F.col("l0") > 0)
-    sure_fragment = fragment & ((F.col("l0") >= BEGINS * F.col("t0")) | (F.col("l_n2") >= 5 * F.col("t_n2")))
-    nowhere = (F.col("i1") + F.col("l1") == 0) & (F.col("i_n2") + F.col("l_n2") == 0)
-    whole = (F.col("t_n2") >= WHOLE) & nowhere
-    return known.where((sure_fragment | inner | opened) & ~whole).select("norm", (sure_fragment | opened).alias("broken"))
+    opened = F.col("norm").rlike(_OPEN) & F.col("closes")
+    return ends.join(judged_trigrams(texts), ["a", "b", "x"]).where(F.col("cut") | opened).select("norm", (F.col("cut") & F.col("torn") | opened).alias("broken"), "level")
 
 
 def cut_values(tags: DataFrame, fields: list[str] = FIELDS, source: str = "feed") -> DataFrame:
