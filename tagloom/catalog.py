@@ -423,9 +423,13 @@ def _list(text: str, sep: str = ",") -> list[str]:
     return [x.strip() for x in text.replace("\n", " ").strip().split(sep)]
 
 
-@cache
 def tag_map_rows() -> tuple[tuple[str, str, str], ...]:
     """(format_id, native tag in lower case, common tag)."""
+    return tuple(r for r in _fixed_map() if r[0] not in _ADDED_MAPS) + tuple((f, native, common) for f, tags in _ADDED_MAPS.items() for native, common in tags.items())
+
+
+@cache
+def _fixed_map() -> tuple[tuple[str, str, str], ...]:
     return tuple((f, native.lower(), common) for f, text in MAPS.items() for native, common in _pairs(text))
 
 
@@ -439,9 +443,36 @@ def genres() -> list[str]:
     return _list(GENRES, ";")
 
 
-@cache
+#: Registrations of a session, behind the fixed ones: (kind, key, loader, needs seek).
+_ADDED: list[tuple[str, str, str, bool]] = []
+#: Tag maps of a session, over the fixed ones: format -> {native tag in lower case: common tag}.
+_ADDED_MAPS: dict[str, dict[str, str]] = {}
+
+
+def register_loader(loader: str, extensions: tuple[str, ...] = (), mime_types: tuple[str, ...] = (), needs_seek: bool = False) -> None:
+    """Files with these keys go to ``loader``, whatever was registered for the keys before."""
+    _ADDED.extend([("ext", e.lower().lstrip("."), loader, needs_seek) for e in extensions] + [("mime", m, loader, needs_seek) for m in mime_types])
+
+
+def register_mapper(format_id: str, tags: dict[str, str]) -> None:
+    """Common tags of the native tags of a format; replaces the map of a format that has one."""
+    _ADDED_MAPS[format_id] = {k.lower(): v for k, v in tags.items()}
+
+
+def clear_registered() -> None:
+    """Forgets what a session registered."""
+    _ADDED.clear()
+    _ADDED_MAPS.clear()
+
+
 def loader_rows() -> tuple[tuple[str, str, str, bool, int], ...]:
     """(kind 'ext' or 'mime', key, loader, needs seek, registration number), one row per registration."""
+    fixed = _fixed_loaders()
+    return fixed + tuple((*r, 1000 + n) for n, r in enumerate(_ADDED))
+
+
+@cache
+def _fixed_loaders() -> tuple[tuple[str, str, str, bool, int], ...]:
     rows = []
     for n, line in enumerate(_LOADERS.strip().split("\n")):
         name, ext, mime, seek, _ = [x.strip() for x in line.split("|")]

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom import catalog
 from tagloom.operators.strategy import dispatch
 from tagloom.sources.decode import ape, asf, ebml, events, id3, iff, mp4, mpeg, xiph
 from tagloom.sources.decode.events import PRESETS, SCHEMA, ContentError, Events, Options
@@ -31,18 +32,28 @@ DECODERS: dict[str, Callable[[bytes, Events], None]] = {
 }
 
 
-def register(loader: str, decode: Callable[[bytes, Events], None]) -> None:
+def register(loader: str, decode: Callable[[bytes, Events], None], extensions: tuple[str, ...] = (), mime_types: tuple[str, ...] = (), needs_seek: bool = False) -> None:
+    """Adds or replaces a decoder, and the keys by which files find it; the last registration of a key wins.
+
+    The decoders go to the workers with each read, so a function of a session's own works there too.
+    """
     DECODERS[loader] = decode
+    catalog.register_loader(loader, extensions, mime_types, needs_seek)
+
 
+def decode_bytes(content, loader: str | None, options: Options = PRESETS["metadata_only"], decoders: dict | None = None) -> list[tuple]:
+    """Event rows (seq, kind, ...) of one file; a failure becomes rows of kind 'error' behind what was read.
 
-def decode_bytes(content: bytes | None, loader: str | None, options: Options = PRESETS["metadata_only"]) -> list[tuple]:
-    """Event rows (seq, kind, ...) of one file; a failure becomes rows of kind 'error' behind what was read."""
-    out = Events(options, len(content or b""))
-    if loader not in DECODERS:
+    ``content`` is bytes or a reader of ranges; null counts as empty.
+    """
+    decoders = DECODERS if decoders is None else decoders
+    content = b"" if content is None else content
+    out = Events(options, len(content))
+    if loader not in decoders:
         out._add("error", None, "CouldNotDetermineFileTypeError", "no loader for this file")
         return out.rows
     try:
-        DECODERS[loader](content or b"", out)
+        decoders[loader](content, out)
     except ContentError as e:
         out._add("error", e.file_type, "UnexpectedFileContentError", str(e))
     except (IndexError, ValueError, KeyError, RecursionError) as e:
@@ -56,13 +67,13 @@ _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 def decode_files(files: DataFrame, options: Options | str = "metadata_only", mode: str = "PERMISSIVE") -> DataFrame:
     """Event rows of (file_id, loader, content). Empty or null content gives an error row; FAILFAST raises instead."""
-    opts = PRESETS[options] if isinstance(options, str) else options
+    opts, decoders = PRESETS[options] if isinstance(options, str) else options, dict(DECODERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for file_id, loader, content in zip(*[b.column(i).to_pylist() for i in range(3)]):
-                for r in decode_bytes(content, loader, opts):
+                for r in decode_bytes(content, loader, opts, decoders):
                     if mode == "FAILFAST" and r[1] == "error":
                         raise ValueError(f"file {file_id}: {r[4]}")
                     rows.append((file_id, *r))

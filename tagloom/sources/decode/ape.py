@@ -42,7 +42,7 @@ def ape_tag(b: bytes, out: Events) -> bool:
     if end < 32 or b[end - 32 : end - 24] != b"APETAGEX":
         return False
     _, size, count = unpack("<III", b, end - 24)
-    ape_items(b[: end - 32], max(0, end - size), count, out)
+    ape_items(b[max(0, end - size) : end - 32], 0, count, out)
     return True
 
 
@@ -116,12 +116,20 @@ def musepack(b: bytes, out: Events) -> None:
     if head[:3] == b"MP+":
         frames, flags = unpack("<II", b, at + 4)
         (tail,) = unpack("<I", b, at + 20)
+        bits = Bits(b, at + 24)
+        version = bits.read(8)
         last = tail >> 20 & 2047
         rate = _MPC_RATES[flags >> 16 & 3]
         samples = 1152 * (frames - 1) + last if frames else 0
-        out.format(container="Musepack, SV7", codec=f"{b[at + 24] / 100 if len(b) > at + 24 else 0:.2f}", sampleRate=rate, numberOfChannels=2, numberOfSamples=samples, hasAudio=True, lossless=False)
+        out.format(container="Musepack, SV7", codec=f"{version / 100:.2f}", sampleRate=rate, numberOfChannels=2, numberOfSamples=samples, hasAudio=True, lossless=False)
         if samples:
-            out.format(duration=samples / rate, bitrate=8 * (len(b) - at) / (samples / rate))
+            out.format(duration=samples / rate)
+            audio = 0
+            for _ in range(frames):
+                n = bits.read(20)
+                bits.at += n
+                audio += 20 + n
+            out.format(bitrate=float(round_half_up((audio + bits.read(11)) / (samples / rate))))
     elif head == b"MPCK":
         _packets(b, at + 4, out)
     else:
@@ -129,6 +137,23 @@ def musepack(b: bytes, out: Events) -> None:
     ape_tag(b, out)
 
 
+class Bits:
+    """Numbers of any width, the highest bit first, in little-endian words of 32 bits."""
+
+    def __init__(self, b: bytes, start: int) -> None:
+        self.b, self.start, self.at = b, start, 0
+
+    def read(self, width: int) -> int:
+        first, last = self.at // 32, (self.at + max(width, 1) - 1) // 32
+        words = unpack(f"<{last - first + 1}I", self.b, self.start + 4 * first)
+        value = 0
+        for w in words:
+            value = value << 32 | w
+        value >>= 32 * len(words) - self.at % 32 - width
+        self.at += width
+        return value & (1 << width) - 1
+
+
 def _varint(b: bytes, at: int) -> tuple[int, int]:
     n = 0
     while at < len(b):

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import math
 import struct
 
 from tagloom.sources.decode.events import ContentError, Events, round_half_up, with_ends
 
-# Element | id | kind (m holds elements, u unsigned, i signed, f float, s text, b bytes).
+# Element | id | kind (m holds elements, u unsigned, f float, s text, b bytes, x bytes as hex digits).
 _ELEMENTS = """
 EBML 1A45DFA3 m | DocType 4282 s | Segment 18538067 m | Info 1549A966 m | TimecodeScale 2AD7B1 u | Duration 4489 f | Title 7BA9 s | MuxingApp 4D80 s | WritingApp 5741 s
 Tracks 1654AE6B m | TrackEntry AE m | TrackNumber D7 u | TrackUID 73C5 u | TrackType 83 u | FlagEnabled B9 u | FlagDefault 88 u | FlagLacing 9C u | Name 536E s | Language 22B59C s
 CodecID 86 s | CodecName 258688 s | Audio E1 m | SamplingFrequency B5 f | OutputSamplingFrequency 78B5 f | Channels 9F u | BitDepth 6264 u | Video E0 m | PixelWidth B0 u | PixelHeight BA u
 DisplayWidth 54B0 u | DisplayHeight 54BA u | Tags 1254C367 m | Tag 7373 m | Targets 63C0 m | TargetTypeValue 68CA u | TargetType 63CA s | SimpleTag 67C8 m | TagName 45A3 s | TagString 4487 s | TagBinary 4485 b
 Attachments 1941A469 m | AttachedFile 61A7 m | FileDescription 467E s | FileName 466E s | FileMimeType 4660 s | FileData 465C b
-Chapters 1043A770 m | EditionEntry 45B9 m | ChapterAtom B6 m | ChapterUID 73C4 u | ChapterTimeStart 91 u | ChapterTimeEnd 92 u | ChapterDisplay 80 m | ChapString 85 s | ChapLanguage 437C s | ChapterTrack 8F m
+Chapters 1043A770 m | EditionEntry 45B9 m | ChapterAtom B6 m | ChapterUID 73C4 x | ChapterTimeStart 91 u | ChapterTimeEnd 92 u | ChapterDisplay 80 m | ChapString 85 s | ChapLanguage 437C s | ChapterTrack 8F m
+SeekHead 114D9B74 m | Seek 4DBB m | SeekID 53AB b | SeekPosition 53AC u
 """
 _DTD = {int(i, 16): (name, kind) for name, i, kind in (e.split() for line in _ELEMENTS.strip().split("\n") for e in line.split("|"))}
-_SKIP = {0x1F43B675, 0x1C53BB6B, 0x114D9B74, 0xEC, 0xBF}
+_SKIP = {0x1C53BB6B, 0xEC, 0xBF}
+_CLUSTER = 0x1F43B675
 _TARGETS = {10: "shot", 20: "scene", 30: "track", 40: "part", 50: "album", 60: "edition", 70: "collection"}
 _TYPES = {1: "video", 2: "audio", 3: "complex", 4: "logo", 16: "subtitle", 17: "button", 18: "control"}
 
@@ -33,22 +36,45 @@ def vint(b: bytes, at: int, keep_mark: bool) -> tuple[int, int]:
     return v, at + n
 
 
+def _number(p: bytes) -> float:
+    """Floats of 4, 8 and 10 bytes; others are 0."""
+    if len(p) == 10:
+        head, fraction = struct.unpack(">HQ", p)
+        return (-1 if head >> 15 else 1) * math.ldexp(fraction, (head & 0x7FFF) - 16383 - 63)
+    return struct.unpack(">d" if len(p) == 8 else ">f", p)[0] if len(p) in (4, 8) else 0.0
+
+
+def next_seek(found: dict, base: int, at: int) -> int | None:
+    """The smallest position behind ``at`` that the seek table of a segment names."""
+    places = [base + one(s, "SeekPosition", 0) for h in found.get("SeekHead", []) for s in h.get("Seek", [])]
+    return min((x for x in places if x > at), default=None)
+
+
 def tree(b: bytes, at: int, end: int) -> dict:
-    """Elements of [at, end) as name -> list of values; unknown ones and clusters are skipped."""
+    """Elements of [at, end) as name -> list of values; unknown ones are skipped. At a cluster the walk goes on where the
+    seek table says; without one, behind the cluster, and a cluster of unknown size ends it."""
     found: dict[str, list] = {}
+    base = at
     while at < end:
+        here = at
         ident, at = vint(b, at, True)
         size, at = vint(b, at, False)
         stop = end if size < 0 else min(at + size, end)
+        if ident == _CLUSTER:
+            jump = next_seek(found, base, here)
+            at = jump if jump is not None and jump < end else stop
+            continue
         if ident in _DTD and ident not in _SKIP:
             name, kind = _DTD[ident]
-            p = b[at:stop]
+            p = b[at:stop] if kind != "m" else b""
             if kind == "m":
                 v = tree(b, at, stop)
+            elif kind == "x":
+                v = p.hex()
             elif kind == "u":
                 v = int.from_bytes(p, "big")
             elif kind == "f":
-                v = struct.unpack(">d" if len(p) == 8 else ">f", p)[0] if len(p) in (4, 8) else 0.0
+                v = _number(p)
             elif kind == "s":
                 v = p.decode("utf-8", "replace").rstrip("\x00")
             else:

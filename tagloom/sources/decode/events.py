@@ -98,7 +98,7 @@ def picture_mime(data: bytes) -> str | None:
 def unpack(fmt: str, b: bytes, at: int = 0) -> tuple:
     """struct.unpack_from that reports short input as a content error."""
     try:
-        return struct.unpack_from(fmt, b, at)
+        return struct.unpack(fmt, b[at : at + struct.calcsize(fmt)])
     except struct.error:
         raise ContentError("data", f"{len(b)} bytes are too few for {fmt} at {at}") from None
 

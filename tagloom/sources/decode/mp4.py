@@ -67,7 +67,7 @@ class Reader:
         self.finish()
 
     def atom(self, name: bytes, lo: int, hi: int, path: tuple) -> None:
-        p = self.b[lo:hi] if name != b"mdat" else b""
+        p = self.b[lo:hi] if name not in (b"mdat", b"free", b"skip", b"wide") else b""
         if name == b"mdat":
             self.mdat += hi - lo
         elif path[-1:] == (b"ilst",):

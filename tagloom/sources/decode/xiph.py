@@ -129,8 +129,12 @@ def flac(b: bytes, out: Events) -> None:
         out.format(bitrate=float(round_half_up(8 * (len(b) - at) / out.known["duration"])))
 
 
+#: Bytes at the end of a file in which its last page begins; a page has no more.
+TAIL = 27 + 255 + 255 * 255
+
+
 def pages(b: bytes):
-    """(serial, granule, flags, segments, payload) of each page."""
+    """(serial, granule, flags, segments, place of the payload) of each page."""
     at = 0
     while at + 27 <= len(b):
         if b[at : at + 4] != b"OggS":
@@ -140,10 +144,22 @@ def pages(b: bytes):
         lacing = b[at + 27 : at + 27 + b[at + 26]]
         size = sum(lacing)
         start = at + 27 + len(lacing)
-        yield serial, granule, flags, lacing, b[start : start + size]
+        yield serial, granule, flags, lacing, start
         at = start + size
 
 
+def last_pages(b: bytes) -> list[tuple[int, int]]:
+    """(serial, granule) of the pages in the last bytes of a file."""
+    tail = b[max(0, len(b) - TAIL) :]
+    found, at = [], tail.find(b"OggS")
+    while at >= 0 and at + 18 <= len(tail):
+        granule, serial = unpack("<qI", tail, at + 6)
+        if tail[at + 4] == 0 and tail[at + 5] < 8:
+            found.append((serial, granule))
+        at = tail.find(b"OggS", at + 4)
+    return found
+
+
 class Stream:
     def __init__(self) -> None:
         self.codec = ""
@@ -170,10 +186,10 @@ def ogg(b: bytes, out: Events) -> None:
     out.format(container="Ogg")
     streams: dict[int, Stream] = {}
     seen = 0
-    for serial, granule, flags, lacing, data in pages(b):
+    for serial, granule, flags, lacing, start in pages(b):
         s = streams.setdefault(serial, Stream())
         if len(s.packets) < 3 and s.codec != "done":
-            for packet in s.feed(lacing, data):
+            for packet in s.feed(lacing, b[start : start + sum(lacing)]):
                 s.packets.append(packet)
                 _packet(s, len(s.packets), packet, out)
         if granule > s.granule:
@@ -182,6 +198,14 @@ def ogg(b: bytes, out: Events) -> None:
         seen += 1
         if all(x.closed for x in streams.values()):
             break
+        if getattr(b, "sparse", False) and granule > 0 and all(len(x.packets) >= 2 for x in streams.values()):
+            # the headers are read: the lengths stand on the last pages
+            ends = last_pages(b)
+            if ends and {x for x, _ in ends} <= streams.keys():
+                for serial, granule in ends:
+                    streams[serial].granule = max(granule, streams[serial].granule)
+                    streams[serial].closed = True
+                break
     if not seen:
         raise ContentError("Ogg", "there is no page")
     for s in streams.values():
