@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tagloom.functions import binary as B
 from tagloom.operators import resolve as R
 from tagloom.operators.strategy import sniff
+from tagloom.plans import samples
 from tagloom.session import table
 from tagloom.sources import audio as A
+from tagloom.sources import ranges
 from tagloom.sources.decode.events import Options
 
 _c = F.col
@@ -122,7 +124,97 @@ def stream_assembly(spark, d):
     return A.tag_events(A.decode_files(files)).select("file_id", "tag_id", F.col("v_str").alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (id3v2_text_roundtrip, vorbis_comments, flac_format_record, wav_decode, options_prune, error_rows, sniffed_loader, stream_assembly)}
+def decoded(kind: str):
+    """Query of one kind of container: a file for each supplier, decoded with all options."""
+    title = samples.KINDS[kind][2]
+
+    def query(spark, d):
+        files = samples.files(table(spark, d, "supplier"), "s_suppkey", "s_name", kind)
+        got = A.decode_files(files, "all")
+        field = lambda name, col: F.max_by(F.col(col), F.when((_c("kind") == "format") & (_c("tag_id") == name), _c("seq"))).alias(name)
+        chapter = F.from_json("v_json", "start long, end long")
+        spans = F.collect_list(F.when(_c("kind") == "chapter", F.struct(chapter["start"].alias("start"), F.coalesce(chapter["end"], F.lit(-1)).alias("end"), _c("v_str").alias("t"))))
+        text = F.array_join(F.transform(F.array_sort(spans), lambda c: F.concat_ws(" ", c["t"], c["start"].cast("string"), c["end"].cast("string"))), ", ")
+        found = F.max(F.when((_c("kind") == "tag") & (_c("tag_id") == title), _c("v_str")))
+        others = F.array_join(F.array_sort(F.collect_list(F.when((_c("kind") == "tag") & (_c("tag_id") != title), F.concat_ws("=", "tag_id", F.coalesce("v_str", _c("v_int").cast("string")))))), ", ")
+        per = got.groupBy("file_id").agg(found.alias("title"), others.alias("others"), *[field(n, "v_str") for n in ("container", "codec")], *[field(n, "v_int") for n in ("sampleRate", "numberOfChannels", "numberOfSamples")], field("duration", "v_dbl"), text.alias("chapters"), F.count_if(_c("kind").isin("error", "warning")).alias("faults"))
+        return per.withColumn("duration", F.round("duration", 6))
+
+    query.__name__ = f"decode_{kind}"
+    return query
+
+
+_LIMITS = ranges.Limits(small=1024, large=4096, head=1024, tail=1024, chunk=256)
+
+
+def _long_wav(spark, d):
+    """A WAVE file of each supplier whose title stands behind 2,000 bytes of audio data and more."""
+    s = table(spark, d, "supplier")
+    t = F.encode(F.rpad("s_name", 30, " "), "UTF-8")
+    n = (2000 + 2 * (_c("s_suppkey") % 1000)).cast("int")
+    data = F.unhex(F.repeat(F.lit("00"), n))
+    info = F.concat(B.raw(b"INFOINAM"), B.pack_le(F.lit(30), 4), t)
+    body = F.concat(B.raw(b"WAVEfmt \x10\0\0\0\1\0\1\0"), B.pack_le(F.lit(1000), 4), B.pack_le(F.lit(2000), 4), B.raw(b"\2\0\x10\0data"), B.pack_le(n, 4), data, B.raw(b"LIST"), B.pack_le(F.octet_length(info), 4), info)
+    content = F.concat(B.raw(b"RIFF"), B.pack_le(F.octet_length(body), 4), body)
+    return s.select(_c("s_suppkey").alias("file_id"), F.lit("wav").alias("loader"), content.alias("content"))
+
+
+def range_read_modes(spark, d):
+    """Every strategy of reading gives the same fields, also those behind the audio data."""
+    files, out = _long_wav(spark, d), None
+    for strategy in ranges.STRATEGIES:
+        rows = ranges.read_contents(files, "all", strategy, _LIMITS)
+        one = rows.groupBy("file_id").agg(F.max(F.when(_c("tag_id") == "INAM", F.trim("v_str"))).alias("title"), F.round(F.max(F.when(_c("tag_id") == "duration", _c("v_dbl"))), 6).alias("duration"), F.max("size").alias("size"), F.count_if(_c("kind") == "error").alias("errors"))
+        one = one.withColumn("asked", F.lit(strategy))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def fetch_actual(spark, d):
+    """Bytes and chunks that each strategy really fetches, and why it was chosen."""
+    files, out = _long_wav(spark, d), None
+    for strategy in ("auto", "fullDownload", "headerOnly"):
+        rows = ranges.read_contents(files, "all", strategy, _LIMITS).where("kind = 'fetch'")
+        one = rows.select("file_id", F.lit(strategy).alias("asked"), "strategy", "reason", "bytes_fetched", "chunks", "retries")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES = {f.__name__: f for f in (id3v2_text_roundtrip, vorbis_comments, flac_format_record, wav_decode, options_prune, error_rows, sniffed_loader, stream_assembly, range_read_modes, fetch_actual, *[decoded(k) for k in samples.KINDS])}
+
+
+def _decoded_sql(container: str | None, codec: str | None, rate: int | None, channels: int | None, n: str | None, seconds: str | None, chapters: str = "''", others: str = "''") -> str:
+    text = lambda v: "CAST(NULL AS VARCHAR)" if v is None else f"'{v}'"
+    number = lambda v: f"CAST({'NULL' if v is None else v} AS BIGINT)"
+    return f"""SELECT s_suppkey AS file_id, s_name AS title, {others} AS others, {text(container)} AS container, {text(codec)} AS codec, {number(rate)} AS sampleRate, {number(channels)} AS numberOfChannels, {number(n)} AS numberOfSamples,
+        round(CAST({seconds or 'NULL'} AS DOUBLE), 6) AS duration, {chapters} AS chapters, CAST(0 AS BIGINT) AS faults FROM supplier"""
+
+
+_K = "(s_suppkey + 1)"
+_TWO = "'First 0 ' || {0} || ', Second ' || {0} || ' ' || {1}"
+_DECODED = {
+    "mpeg": _decoded_sql("MPEG", "MPEG 1 Layer 3", 44100, 2, f"({_K} % 20 + 5) * 1152", f"({_K} % 20 + 5) * 1152 / 44100.0"),
+    "ogg_vorbis": _decoded_sql("Ogg", "Vorbis I", 44100, 2, f"44100 * {_K}", _K),
+    "ogg_opus": _decoded_sql("Ogg", "Opus", 48000, 2, f"48000 * {_K}", _K),
+    "ogg_speex": _decoded_sql("Ogg", "Speex 1.2", 16000, 1, f"16000 * {_K}", _K),
+    "flac_cues": _decoded_sql("FLAC", "FLAC", 44100, 2, f"44100 * ({_K} + 2)", f"{_K} + 2", f"'Track 01 0 ' || 1000 * {_K} || ', Track 02 ' || 1000 * {_K} || ' ' || 1000 * ({_K} + 2)"),
+    "wav_cues": _decoded_sql("WAVE", "PCM", 1000, 2, "1000", "1", f"'Intro 0 ' || 10 * {_K} || ', Cue 2 ' || 10 * {_K} || ' -1'"),
+    "aiff": _decoded_sql("AIFF", "PCM", 8000, 1, f"8000 * {_K}", _K),
+    "monkeys_audio": _decoded_sql("Monkey''s Audio", "Monkey''s Audio", 44100, 2, f"({_K} - 1) * 73728 + 100", f"(({_K} - 1) * 73728 + 100) / 44100.0"),
+    "wavpack": _decoded_sql("WavPack", "PCM", 44100, 2, f"44100 * {_K}", _K),
+    "musepack7": _decoded_sql("Musepack, SV7", "1.15", 44100, 2, f"1152 * ({_K} % 7) + 500", f"(1152 * ({_K} % 7) + 500) / 44100.0"),
+    "musepack8": _decoded_sql("Musepack, SV8", "Musepack SV8", 48000, 2, f"48000 * {_K}", _K),
+    "dsf": _decoded_sql("DSF", "DSD", 5644800, 2, f"5644800 * {_K}", _K),
+    "dsdiff": _decoded_sql("DSDIFF/DSD", "DSD", 2822400, 2, f"(1000 + 2 * {_K}) * 4", f"(1000 + 2 * {_K}) * 4 / 2822400.0"),
+    "asf": _decoded_sql("ASF/audio", None, None, None, None, _K),
+    "matroska": _decoded_sql("EBML/webm", "OPUS", 48000, 2, None, _K, _TWO.format(f"500 * {_K}", f"1000 * {_K}")),
+    "mp4": _decoded_sql("M4A/isom/mp42", "MPEG-4/AAC", 44100, 2, f"44100 * {_K}", _K, _TWO.format(f"990 * {_K}", f"1000 * {_K}"), f"'trkn=' || {_K} % 100 || '/100'"),
+    "id3_22": _decoded_sql(None, None, None, None, None, None, others=f"'TRK=' || {_K} || '/' || ({_K} + 1)"),
+    "id3_23": _decoded_sql(None, None, None, None, None, None, others=f"'COMM=note ' || {_K} || ', TXXX:mood=calm ' || {_K}"),
+    "id3_chapters": _decoded_sql(None, None, None, None, None, None, _TWO.format(f"1000 * {_K}", f"2000 * {_K}")),
+}
+# size of the WAVE file: 44 bytes, the data, and a LIST of 50 bytes
+_WAV_SIZE = "(94 + 2000 + 2 * (s_suppkey % 1000))"
 
 ORACLE = {
     "id3v2_text_roundtrip": "SELECT c_custkey AS file_id, c_name AS title, c_mktsegment AS artist, '2001' AS \"year\", (c_nationkey + 1) || '/30' AS track FROM customer",
@@ -133,4 +225,14 @@ ORACLE = {
     "error_rows": "SELECT CASE p_partkey % 4 WHEN 3 THEN 'CouldNotDetermineFileTypeError' ELSE 'UnexpectedFileContentError' END AS name, CASE WHEN p_partkey % 4 <> 3 THEN 'FLAC' END AS file_type, count(*) AS n FROM part WHERE p_partkey % 4 <> 0 GROUP BY 1, 2",
     "sniffed_loader": "SELECT ['flac', 'ogg', 'wav', 'aiff', 'mp4', 'mpeg', 'mpeg', 'apev2', NULL][p_partkey % 9 + 1] AS loader, count(*) AS n FROM part GROUP BY 1",
     "stream_assembly": "SELECT o_orderkey AS file_id, 'TIT2' AS tag_id, 'order ' || o_orderkey AS value FROM orders",
+    "range_read_modes": f"""SELECT s_suppkey AS file_id, s_name AS title, round((1000 + s_suppkey % 1000) / 1000.0, 6) AS duration, CAST({_WAV_SIZE} AS BIGINT) AS size, CAST(0 AS BIGINT) AS errors, m.asked
+        FROM supplier, (VALUES ('auto'), ('fullDownload'), ('headerOnly'), ('probe'), ('randomAccess')) AS m(asked)""",
+    # a header read takes the first 1024 bytes and the chunks of 256 bytes that hold the LIST behind the data and what is asked for near the end
+    "fetch_actual": f"""WITH f AS (SELECT s_suppkey AS file_id, {_WAV_SIZE} AS n, 44 + 2000 + 2 * (s_suppkey % 1000) AS pos FROM supplier),
+        c AS (SELECT *, (n + 255) // 256 AS all_chunks, (n + 255) // 256 - greatest(4, pos // 256) AS late FROM f)
+        SELECT file_id, m.asked, CASE WHEN m.asked = 'fullDownload' THEN 'fullDownload' ELSE 'headerOnly' END AS strategy, CASE WHEN m.asked = 'auto' THEN 'header format' ELSE 'asked for' END AS reason,
+            CAST(CASE WHEN m.asked = 'fullDownload' THEN n ELSE 1024 + n - greatest(4, pos // 256) * 256 END AS BIGINT) AS bytes_fetched,
+            CAST(CASE WHEN m.asked = 'fullDownload' THEN all_chunks ELSE 4 + late END AS INTEGER) AS chunks, 0 AS retries
+        FROM c, (VALUES ('auto'), ('fullDownload'), ('headerOnly')) AS m(asked)""",
+    **{f"decode_{k}": sql for k, sql in _DECODED.items()},
 }
