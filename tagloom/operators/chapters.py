@@ -1,8 +1,9 @@
 """Chapter ends, titles and sample tables: leads, running sums, range joins and as-of joins.
 
-Sample tables belong to one track of one file and are bounded by its index, so
-windows run per track; chapters of a file use the bucketed lead of
-:mod:`tagloom.operators.intervals`.
+Running values and as-of joins work in blocks with a carry
+(:mod:`tagloom.operators.running`), and leads in buckets
+(:mod:`tagloom.operators.intervals`), so no track or file is one task and no
+pairs are formed inside one.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators.intervals import next_point
+from tagloom.operators.running import dense_ranks, in_force, running_sums
 
 # Clocks a chapter list may count in.
 CLOCKS = [1000, 22050, 44100, 48000, 90000, 1000000, 10000000]
@@ -33,53 +35,51 @@ def clamp_end(start: Column, end: Column, fallback: Column) -> Column:
 
 def default_titles(chapters: DataFrame, key: str, start: str, prefix: str = "Chapter ") -> DataFrame:
     """Adds n (rank of the start in the key, from 1) and fills empty titles with the prefix and n."""
-    n = F.dense_rank().over(Window.partitionBy(key).orderBy(start))
-    return chapters.withColumn("n", n).withColumn("title", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.concat(F.lit(prefix), F.col("n").cast("string"))))
+    ranked = dense_ranks(chapters, key, start, "n")
+    return ranked.withColumn("title", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.concat(F.lit(prefix), F.col("n").cast("string"))))
 
 
 def running_offsets(stts: DataFrame, track: str, idx: str, count: str, duration: str) -> DataFrame:
     """Adds first_sample, last_sample (from 0, last excluded) and first_time of each stts entry."""
-    w = Window.partitionBy(track).orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
     span = F.col(count).cast("long")
-    first, time = F.coalesce(F.sum(span).over(w), F.lit(0)), F.coalesce(F.sum(span * F.col(duration)).over(w), F.lit(0))
-    return stts.withColumns({"first_sample": first, "first_time": time, "last_sample": first + span})
+    summed = running_sums(stts, [track], idx, {"first_sample": span, "first_time": span * F.col(duration)})
+    return summed.withColumn("last_sample", F.col("first_sample") + span)
+
+
+def _entry(stts: DataFrame, track: str, idx: str, count: str, duration: str) -> tuple[DataFrame, Column]:
+    """Entries with samples, and what they say, for an as-of join."""
+    r = running_offsets(stts, track, idx, count, duration).where("last_sample > first_sample")
+    return r, F.struct("first_sample", "last_sample", "first_time", F.col(duration).cast("long").alias("d"))
 
 
 def sample_times(samples: DataFrame, stts: DataFrame, track: str, sample: str, idx: str, count: str, duration: str) -> DataFrame:
-    """(track, sample, time): start of each sample; null beyond the table. A range join inside the track."""
-    r = running_offsets(stts, track, idx, count, duration).select(track, "first_sample", "last_sample", "first_time", F.col(duration).alias("_d"))
-    inside = (F.col(sample) >= F.col("first_sample")) & (F.col(sample) < F.col("last_sample"))
-    j = samples.alias("s").join(r.alias("r"), (F.col(f"s.{track}") == F.col(f"r.{track}")) & inside, "left")
-    return j.select(F.col(f"s.{track}").alias(track), sample, (F.col("first_time") + (F.col(sample) - F.col("first_sample")) * F.col("_d")).alias("time"))
+    """(track, sample, time): start of each sample; null beyond the table."""
+    r, entry = _entry(stts, track, idx, count, duration)
+    e = F.col("e")
+    time = F.when(F.col(sample) < e["last_sample"], e["first_time"] + (F.col(sample) - e["first_sample"]) * e["d"])
+    return in_force(samples, r, track, sample, "first_sample", entry, "e").select(track, sample, time.alias("time"))
 
 
 def samples_per_chunk(chunks: DataFrame, stsc: DataFrame, track: str, chunk: str, first_chunk: str, per_chunk: str) -> DataFrame:
-    """(track, chunk, n): the stsc entry in force at each chunk; the last entry has no end, the first reaches back."""
-    w = Window.partitionBy(track).orderBy(first_chunk)
-    ranges = stsc.select(track, F.col(first_chunk).alias("_f"), F.lead(first_chunk).over(w).alias("_t"), F.last(per_chunk).over(Window.partitionBy(track).orderBy(first_chunk).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last"), F.col(per_chunk).alias("_n"))
-    j = chunks.alias("c").join(ranges.alias("r"), F.col(f"c.{track}") == F.col(f"r.{track}"))
-    hit = F.when((F.col(chunk) >= F.col("_f")) & (F.col(chunk) < F.col("_t")), F.col("_n"))
-    return j.groupBy(F.col(f"c.{track}").alias(track), chunk).agg(F.coalesce(F.max(hit), F.max("_last")).alias("n"))
+    """(track, chunk, n): the stsc entry in force at each chunk; the last entry has no end, and holds before the first one too."""
+    last = stsc.groupBy(track).agg(F.max_by(per_chunk, first_chunk).alias("_last"))
+    found = in_force(chunks, stsc, track, chunk, first_chunk, F.col(per_chunk), "n")
+    return found.join(last, track).select(track, chunk, F.coalesce("n", "_last").alias("n"))
 
 
 def chunk_before(points: DataFrame, chunks: DataFrame, track: str, at: str, offset: str, number: str) -> DataFrame:
-    """(track, at, number): as-of join, the last chunk that starts before ``at``, else chunk 1. Union and running maximum, no pairs."""
-    both = points.select(track, F.col(at).alias("_p"), F.lit(0).alias("_k"), F.lit(None).cast("long").alias("_n")).unionByName(
-        chunks.select(track, F.col(offset).alias("_p"), F.lit(1).alias("_k"), F.col(number).cast("long").alias("_n"))
-    )
-    # points sort before chunks of the same offset, so a chunk that starts at the point doesn't count
-    w = Window.partitionBy(track).orderBy("_p", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_l", F.max("_n").over(w)).where("_k = 0").select(track, F.col("_p").alias(at), F.coalesce("_l", F.lit(1)).alias(number)).distinct()
+    """(track, at, number): as-of join, the last chunk that starts before ``at``, else chunk 1."""
+    found = in_force(points, chunks, track, at, offset, F.col(number).cast("long"), "_n", inclusive=False)
+    return found.select(track, at, F.coalesce("_n", F.lit(1)).alias(number))
 
 
 def chunk_durations(chunks: DataFrame, stts: DataFrame, track: str, chunk: str, per_chunk: str, idx: str, count: str, duration: str) -> DataFrame:
-    """(track, chunk, time): time before each chunk: running sums of both tables, overlapped inside the track."""
-    w = Window.partitionBy(track).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    starts = chunks.withColumn("_s", F.coalesce(F.sum(F.col(per_chunk).cast("long")).over(w), F.lit(0)))
-    r = running_offsets(stts, track, idx, count, duration).select(track, "first_sample", "last_sample", F.col(duration).alias("_d"))
-    j = starts.alias("c").join(r.alias("r"), F.col(f"c.{track}") == F.col(f"r.{track}"))
-    part = F.greatest(F.least(F.col("_s"), F.col("last_sample")) - F.col("first_sample"), F.lit(0)) * F.col("_d")
-    return j.groupBy(F.col(f"c.{track}").alias(track), chunk).agg(F.sum(part).alias("time"))
+    """(track, chunk, time): time before each chunk: the entry in force at the samples before it, and what lies before that entry."""
+    starts = running_sums(chunks, [track], chunk, {"_s": F.col(per_chunk).cast("long")})
+    r, entry = _entry(stts, track, idx, count, duration)
+    e = F.col("e")
+    timed = in_force(starts, r, track, "_s", "first_sample", entry, "e").select(track, "_s", (e["first_time"] + (F.least("_s", e["last_sample"]) - e["first_sample"]) * e["d"]).alias("time"))
+    return starts.join(timed, [track, "_s"]).select(track, chunk, "time")
 
 
 def time_base(largest: Column, seconds: Column) -> Column:

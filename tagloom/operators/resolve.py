@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tagloom import catalog
 from tagloom.functions.normalize import first_value, value_list, year_of
+from tagloom.operators.running import running_last
+from tagloom.session import stored
 
 #: Events of one file and tag that a window orders in one task.
 BLOCK = 4096
@@ -114,7 +116,12 @@ def list_rows(mapped: DataFrame) -> DataFrame:
 
 
 def normalized(mapped: DataFrame, singles: list[str], lists: list[str]) -> DataFrame:
-    """One row per file with the named singleton columns and list columns."""
+    """One row per file with the named singleton columns and list columns.
+
+    The mapped tags are asked for four times, so the named ones are written once:
+    whatever they come from, a decoder above all, runs once.
+    """
+    mapped = stored(mapped.where(F.col("common_id").isin([*singles, *lists])))
     both = merge_singletons(mapped).unionByName(merge_artist(mapped).select("file_id", F.lit("artist").alias("common_id"), "value"))
     wide = both.where(F.col("common_id").isin(singles)).groupBy("file_id").pivot("common_id", singles).agg(F.first("value"))
     many = merge_lists(mapped).where(F.col("common_id").isin(lists)).groupBy("file_id").pivot("common_id", lists).agg(F.first("vals"))
@@ -143,6 +150,18 @@ def accepted_changes(mapped: DataFrame) -> DataFrame:
     return kept.where(changed).select("file_id", "common_id", "seq", "value")
 
 
+def snapshots(mapped: DataFrame, fields: list[str]) -> DataFrame:
+    """(file_id, common_id, seq, fields): the named tags of the record after each accepted change; null where none came yet."""
+    changes = accepted_changes(mapped)
+    return running_last(changes, ["file_id"], ["seq", "common_id"], {f: F.when(F.col("common_id") == f, F.col("value")) for f in fields}, BLOCK).drop("value")
+
+
+def select_cover(pictures: DataFrame, key: str, kind: str, order: list[str], fields: list[str]) -> DataFrame:
+    """(key, fields): the first picture of type 'Cover', else the first picture; null types are no covers."""
+    other = F.coalesce(F.col(kind) != "Cover", F.lit(True)).alias("other")
+    return pictures.groupBy(key).agg(F.min_by(F.struct(*fields), F.struct(other, *order)).alias("_b")).select(key, *[F.col("_b")[f].alias(f) for f in fields])
+
+
 def last_known(events: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
     """Null-preserving partial updates: the last non-null value of each field per key."""
     return events.groupBy(key).agg(*[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields])

@@ -152,7 +152,10 @@ def chunk_islands(chunks: DataFrame, key: str, chunk: str) -> DataFrame:
     c = chunks.select(F.col(key).alias("k"), F.col(chunk).cast("long").alias("c")).where("k IS NOT NULL AND c IS NOT NULL").distinct().withColumn("b", F.shiftright("c", 12))
     w = Window.partitionBy("k", "b").orderBy("c")
     runs = c.withColumn("g", F.col("c") - F.row_number().over(w)).groupBy("k", "b", "g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    # only runs at a border of their block can go on in another one: two of a block at most
+    border = (F.pmod("lo", F.lit(4096)) == 0) | (F.pmod("hi", F.lit(4096)) == 4095)
     across = Window.partitionBy("k").orderBy("lo")
     start = F.coalesce((F.col("lo") != F.lag("hi").over(across) + 1).cast("int"), F.lit(1))
-    joined = runs.withColumn("s", start).withColumn("i", F.sum("s").over(across.rowsBetween(Window.unboundedPreceding, 0)))
-    return joined.groupBy("k", "i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select(F.col("k").alias(key), "lo", "hi", (F.col("hi") - F.col("lo") + 1).alias("n"))
+    joined = runs.where(border).withColumn("s", start).withColumn("i", F.sum("s").over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = runs.where(~border).select("k", "lo", "hi").unionByName(joined.groupBy("k", "i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("k", "lo", "hi"))
+    return whole.select(F.col("k").alias(key), "lo", "hi", (F.col("hi") - F.col("lo") + 1).alias("n"))

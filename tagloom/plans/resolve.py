@@ -92,11 +92,20 @@ def select_cover(spark, d):
     """The first picture of type 'Cover', else the first picture, of the lines of each order."""
     kind = F.when(F.col("l_linenumber") == 3, "Cover").otherwise(F.concat(F.lit("Other"), F.col("l_linenumber").cast("string")))
     pics = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", kind.alias("kind"))
-    best = F.min_by(F.struct("kind", "l_partkey"), F.struct((F.col("kind") != "Cover").alias("other"), "l_linenumber", "l_partkey"))
-    return pics.groupBy("l_orderkey").agg(best.alias("b")).select("l_orderkey", "b.kind", "b.l_partkey")
+    return R.select_cover(pics, "l_orderkey", "kind", ["l_linenumber", "l_partkey"], ["kind", "l_partkey"])
 
 
-QUERIES = {f.__name__: f for f in (tag_mapping_join, unmapped_tags, native_group_by, native_blocks, merge_singleton_priority, merge_artist_first, merge_list_unique, normalized_record, json_sink, event_snapshots, format_partial_update, tag_semantics_kinds, track_total_pair, rating_stars, bool_parse, select_cover)}
+def record_snapshots(spark, d):
+    """Title, artist and album of a record after each change an observer is told of."""
+    return R.snapshots(_mapped(spark, d), ["title", "artist", "album"])
+
+
+def list_rows_ordered(spark, d):
+    """Values of lists that keep repeats, in order."""
+    return R.list_rows(_mapped(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (tag_mapping_join, unmapped_tags, native_group_by, native_blocks, merge_singleton_priority, merge_artist_first, merge_list_unique, normalized_record, json_sink, event_snapshots, format_partial_update, tag_semantics_kinds, track_total_pair, rating_stars, bool_parse, select_cover, record_snapshots, list_rows_ordered)}
 
 _MAP = catalog.sql_values(catalog.tag_map_rows(), "tm(f, nl, common_id)")
 _PRI = catalog.sql_values(catalog.PRIORITY.items(), "pr(pf, p)")
@@ -143,6 +152,14 @@ ORACLE = {
     "event_snapshots": f"""WITH {_BASE}, w AS (SELECT *, max(priority) OVER (PARTITION BY file_id, common_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m WHERE sub = 1),
         k AS (SELECT *, lag(format_id) OVER (PARTITION BY file_id, common_id ORDER BY seq) AS lf FROM w WHERE before IS NULL OR priority >= before)
         SELECT file_id, common_id, seq, value FROM k WHERE common_id <> 'artist' OR lf IS NULL OR lf <> format_id""",
+    "record_snapshots": f"""WITH {_BASE}, w AS (SELECT *, max(priority) OVER (PARTITION BY file_id, common_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m WHERE sub = 1),
+        k AS (SELECT *, lag(format_id) OVER (PARTITION BY file_id, common_id ORDER BY seq) AS lf FROM w WHERE before IS NULL OR priority >= before),
+        c AS (SELECT file_id, common_id, seq, value FROM k WHERE common_id <> 'artist' OR lf IS NULL OR lf <> format_id)
+        SELECT file_id, common_id, seq, {', '.join(f"last_value(CASE WHEN common_id = '{f}' THEN value END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY seq, common_id ROWS UNBOUNDED PRECEDING) AS {f}" for f in ('title', 'artist', 'album'))} FROM c""",
+    "list_rows_ordered": f"""WITH {_BASE} SELECT file_id, common_id, seq, CAST(unnest(range(len(vals))) AS INT) AS pos, unnest(vals) AS value FROM (
+        SELECT *, max(priority) OVER (PARTITION BY file_id, common_id) AS mp FROM m WHERE NOT single AND NOT uniq) WHERE priority = mp""",
+    "json_sink": f"""WITH {_BASE}{_RECORD}, t AS (SELECT file_id, CASE WHEN title IS NOT NULL THEN '"title":' || CAST(to_json(title) AS VARCHAR) END AS a, CASE WHEN "year" IS NOT NULL THEN '"year":' || "year" END AS b, CASE WHEN {_TRACK} IS NOT NULL THEN '"track_no":' || {_TRACK} END AS c FROM n)
+        SELECT file_id, '{{' || concat_ws(',', a, b, c) || '}}' AS doc FROM t""",
     "format_partial_update": "SELECT file_id, arg_max(container, scanned_at) FILTER (WHERE container IS NOT NULL) AS container, arg_max(codec, scanned_at) FILTER (WHERE codec IS NOT NULL) AS codec, arg_max(sample_rate, scanned_at) FILTER (WHERE sample_rate IS NOT NULL) AS sample_rate, arg_max(channels, scanned_at) FILTER (WHERE channels IS NOT NULL) AS channels FROM audio_files GROUP BY file_id",
     "tag_semantics_kinds": f"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN single THEN 'singleton' ELSE 'list' END AS kind FROM {_SEM} UNION ALL SELECT 'unique' FROM {_SEM} WHERE NOT single AND uniq) GROUP BY kind",
     "track_total_pair": "SELECT l_linenumber AS no, CASE WHEN l_linenumber % 3 = 0 OR CAST(l_quantity AS INT) % 5 = 0 THEN NULL ELSE CAST(l_quantity AS INT) % 5 END AS \"of\", count(*) AS n FROM lineitem GROUP BY 1, 2",
