@@ -1,11 +1,11 @@
 """Visually identical text with different characters: one plain form per text.
 
-Method: a longest-match transducer over grapheme clusters. A table of clusters
-and their plain forms is built once from Unicode rules (widths, composition,
-blanks, hyphens, invisible characters) and checked for conflicts and for
-stability; one compiled pattern finds the clusters, longest first, and replaces
-them in one pass. Look-alike letters depend on the script of their word, so the
-pass over a word carries the mapping of that script.
+Method: a compiled longest-match transducer over grapheme clusters. For each
+script of a word there is one trie of clusters and their plain forms, built by
+rule from Unicode data: widths, blanks, hyphens, invisible characters, letters with
+marks in every spelling, Hangul from its parts, and the look-alikes of the script.
+Two rules that disagree on a cluster are an error. A text is read once, each place
+takes its longest cluster.
 
 The operator is a projection: Python sees only values with a character outside
 ASCII, each distinct value of a batch once.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import cache, lru_cache
+from itertools import permutations
 
 import pandas as pd
 import regex
@@ -69,23 +70,7 @@ def cluster_table() -> dict[str, str]:
     return table
 
 
-@cache
-def _clusters() -> regex.Pattern:
-    singles = "".join(map(regex.escape, cluster_table()))
-    unseen = "".join(map(regex.escape, _UNSEEN))
-    jamo = f"[\\u1100-\\u115f\\ua960-\\ua97c](?:[{unseen}]*[\\u1160-\\u11ff])+"
-    marked = f"[^\\s](?:[{unseen}]*[{_MARKS}\\uff9e\\uff9f])+"
-    return regex.compile(f"{jamo}|{marked}|[{singles}]")
-
-
-def _replace(m: regex.Match) -> str:
-    cluster, table = m.group(), cluster_table()
-    if cluster in table:
-        return table[cluster]
-    return unicodedata.normalize("NFC", "".join(table.get(c, c) for c in cluster))
-
-
-_WORD = regex.compile(r"[\p{L}\p{M}]+")
+_WORD = regex.compile(rf"[\p{{L}}\p{{M}}{''.join(map(regex.escape, _UNSEEN))}]+")
 
 
 def _script(ch: str) -> str:
@@ -104,48 +89,151 @@ def _decisive(ch: str, other: str) -> bool:
     return ch not in _INTO.get((_script(ch), other), {})
 
 
-def _settle(text: str) -> str:
-    """Look-alike letters turned into those of the script of their word."""
-    words = [m.group() for m in _WORD.finditer(text)]
-    base = [unicodedata.normalize("NFD", w) for w in words]
-    scripts = [{_script(c) for c in b if c.isalpha()} - {"o"} for b in base]
+@cache
+def _composed() -> dict[str, str]:
+    """Letter with marks, in any order of the marks -> the one letter it composes to, by rule; Hangul from its parts."""
+    found: dict[str, str] = {}
+    for cp in [*range(0xC0, 0x3100), *range(0xF900, 0xFB50)]:
+        parts = unicodedata.normalize("NFD", chr(cp))
+        whole = unicodedata.normalize("NFC", parts)
+        if len(parts) < 2 or len(whole) > 1:
+            continue
+        for marks in permutations(parts[1:]):
+            if unicodedata.normalize("NFC", parts[0] + "".join(marks)) == whole:
+                found[parts[0] + "".join(marks)] = whole
+                for k in range(1, len(marks)):
+                    begun = unicodedata.normalize("NFC", parts[0] + "".join(marks[:k]))
+                    if len(begun) == 1:
+                        found[begun + "".join(marks[k:])] = whole
+    for lead in range(19):
+        for vowel in range(21):
+            for tail in range(28):
+                jamo = chr(0x1100 + lead) + chr(0x1161 + vowel) + (chr(0x11A7 + tail) if tail else "")
+                found[jamo] = chr(0xAC00 + (lead * 21 + vowel) * 28 + tail)
+    return found
+
+
+@cache
+def transducer(script: str | None) -> dict:
+    """The compiled mapping of the words of a script (None: text that keeps its letters): a trie over clusters.
+
+    It holds the cluster table, letters with marks in every spelling of the letter, and the look-alikes of the
+    script. Two rules that disagree on a cluster are an error.
+    """
+    looks: dict[str, str] = {}
+    for (_, to), pairs in _INTO.items():
+        if to == script:
+            for a, b in pairs.items():
+                _add(looks, a, b)
+    singles = {a: "".join(looks.get(c, c) for c in b) for a, b in cluster_table().items()}
+    table = dict(singles)
+    for a, b in looks.items():
+        _add(table, a, b)
+    spellings: dict[str, list[str]] = {}
+    for a, b in [*singles.items(), *looks.items()]:
+        if len(b) == 1:
+            spellings.setdefault(b, []).append(a)
+    for parts, whole in _composed().items():
+        if parts[0] in looks:
+            continue
+        for first in [parts[0], *spellings.get(parts[0], [])]:
+            _add(table, first + parts[1:], whole)
+    for mark, plain in (("\uff9e", "\u3099"), ("\uff9f", "\u309a")):
+        for a, b in singles.items():
+            whole = unicodedata.normalize("NFC", b + plain)
+            if 0xFF66 <= ord(a) <= 0xFF9D and len(whole) == 1:
+                _add(table, a + mark, whole)
+    for cp in [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]:
+        # a letter with marks whose base is a look-alike
+        parts = unicodedata.normalize("NFD", chr(cp))
+        if len(parts) > 1 and parts[0] in looks:
+            whole = unicodedata.normalize("NFC", looks[parts[0]] + parts[1:])
+            for spelling in {chr(cp), parts}:
+                if spelling not in singles:
+                    _add(table, spelling, whole)
+    root: dict = {}
+    for cluster, plain in table.items():
+        node = root
+        for ch in cluster:
+            node = node.setdefault(ch, {})
+        node[""] = plain
+    return root
+
+
+def _pass(text: str, start: int, end: int, root: dict, out: list[str]) -> None:
+    """One walk over text[start:end]: the longest cluster at each place gives its plain form; invisible characters inside it don't count."""
+    i = start
+    while i < end:
+        node = root.get(text[i])
+        if node is None:
+            out.append(text[i])
+            i += 1
+            continue
+        best, to, k = node.get("", text[i]), i + 1, i + 1
+        while k < end:
+            ch = text[k]
+            following = node.get(ch)
+            if following is None:
+                if ch not in _UNSEEN:
+                    break
+            else:
+                node = following
+                if "" in node:
+                    best, to = node[""], k + 1
+            k += 1
+        out.append(best)
+        i = to
+
+
+@cache
+def _letters_of(ch: str) -> str:
+    """The plain base letters a character stands for."""
+    return "".join(c for c in unicodedata.normalize("NFD", cluster_table().get(ch, ch)) if c.isalpha())
+
+
+def _scripts(words: list[str]) -> list[str | None]:
+    """The script whose look-alikes each word takes, None where it keeps its letters."""
+    base = ["".join(map(_letters_of, w)) for w in words]
+    scripts = [{_script(c) for c in b} - {"o"} for b in base]
+    none: list[str | None] = [None] * len(words)
     if not any(s - {"L"} for s in scripts) or all(len(s) < 2 for s in scripts) and not any("L" in s for s in scripts):
-        return text
-    own = [{s for s in sc if any(_script(c) == s and all(_decisive(c, o) for o in "LCG" if (s, o) in _INTO) for c in b if c.isalpha())} for b, sc in zip(base, scripts)]
+        return none
+    own = [{s for s in sc if any(_script(c) == s and all(_decisive(c, o) for o in "LCG" if (s, o) in _INTO) for c in b)} for b, sc in zip(base, scripts)]
     sure = [next(iter(o)) for o in own if len(o) == 1]
     most = max(set(sure), key=sure.count) if sure else None
-    it = iter(range(len(words)))
-
-    def word(m: regex.Match) -> str:
-        i = next(it)
-        sc, b = scripts[i], base[i]
+    for i, (b, sc) in enumerate(zip(base, scripts)):
         if not sc or sc == {"L"} or len(own[i]) > 1:
-            return m.group()
+            continue
         if len(sc) == 1:
             # a word of look-alikes only, in a text that has no other word of its script
             (s,) = sc
             if own[i] or s in sure or most != "L" or len(b) < 2:
-                return m.group()
+                continue
             to = "L"
         elif own[i]:
             (to,) = own[i]
         else:
-            counts = {s: sum(_script(c) == s for c in b if c.isalpha()) for s in sc}
+            counts = {s: sum(_script(c) == s for c in b) for s in sc}
             to = most if most in sc else max(sorted(counts), key=lambda s: (counts[s], s == "L"))
-        changed = "".join(_INTO.get((_script(c), to), {}).get(c, c) if c.isalpha() else c for c in b)
-        if len({_script(c) for c in changed if c.isalpha()}) > 1:
-            return m.group()
-        return unicodedata.normalize("NFC", changed)
-
-    return _WORD.sub(word, text)
+        if len({_script(_INTO.get((_script(c), to), {}).get(c, c)) for c in b}) == 1:
+            none[i] = to
+    return none
 
 
 @lru_cache(maxsize=100_000)
 def plain_form(text: str) -> str:
-    """The plain form of one text; plain texts are their own form."""
+    """The plain form of one text in one pass; plain texts are their own form."""
     if text.isascii():
         return text
-    return _settle(_clusters().sub(_replace, text))
+    spans = [m.span() for m in _WORD.finditer(text)]
+    out: list[str] = []
+    at, common = 0, transducer(None)
+    for (a, b), script in zip(spans, _scripts([text[a:b] for a, b in spans])):
+        _pass(text, at, a, common, out)
+        _pass(text, a, b, common if script is None else transducer(script), out)
+        at = b
+    _pass(text, at, len(text), common, out)
+    return "".join(out)
 
 
 @F.pandas_udf(T.StringType())
