@@ -219,27 +219,32 @@ def _term_votes(sents: DataFrame, n_terms: int, least: float) -> tuple[dict[int,
     return {r["term"]: (r["area"], r["share"]) for r in rows}, areas
 
 
-def _vectors(sents: DataFrame, votes: dict[int, tuple[int, float]], areas: list[int], n_terms: int) -> DataFrame:
-    """Adds ``features``: the sum of the area shares of a document's terms as a unit vector; documents of one subject are near in every language."""
-    from pyspark.ml.functions import array_to_vector
+class _Profiles:
+    """Document vectors: the sum of the area shares of a document's terms, of length 1; documents of one subject are near in every language."""
+
+    def __init__(self, votes: dict[int, tuple[int, float]], areas: list[int], n_terms: int) -> None:
+        place = {a: i for i, a in enumerate(areas)}
+        self.k, self.area, self.share = len(areas), np.zeros(n_terms, np.int64), np.zeros(n_terms)
+        for t, (a, w) in votes.items():
+            self.area[t], self.share[t] = place[a], w
+
+    def __call__(self, x: _Batch) -> np.ndarray:
+        counts = self.share[x.term] > 0
+        term, doc = x.term[counts], x.doc[x.sent[counts]]
+        v = np.bincount(doc * self.k + self.area[term], self.share[term], x.docs * self.k).reshape(-1, self.k)
+        return v / np.linalg.norm(v, axis=1, keepdims=True).clip(1e-12)
 
-    place, k = {a: i for i, a in enumerate(areas)}, len(areas)
-    area, share = np.zeros(n_terms, np.int64), np.zeros(n_terms)
-    for t, (a, w) in votes.items():
-        area[t], share[t] = place[a], w
+
+def _vectors(sents: DataFrame, profiles: _Profiles) -> DataFrame:
+    """(features) of the documents."""
+    from pyspark.ml.functions import array_to_vector
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _Batch(b.column(b.num_columns - 1))
-            counts = share[x.term] > 0
-            term, doc = x.term[counts], x.doc[x.sent[counts]]
-            v = np.bincount(doc * k + area[term], share[term], x.docs * k).reshape(-1, k)
-            v /= np.linalg.norm(v, axis=1, keepdims=True).clip(1e-12)
-            yield pa.RecordBatch.from_arrays([*b.columns, _lists(np.full(x.docs, k), pa.array(v.ravel()))], [*b.schema.names, "v"])
+            v = profiles(_Batch(b.column(0)))
+            yield pa.RecordBatch.from_arrays([_lists(np.full(len(v), profiles.k), pa.array(v.ravel()))], ["v"])
 
-    held = sents.select(*[c for c in sents.columns if c in ("votes", "sents")])
-    made = held.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema) + ", v array<double>")
-    return made.select(*held.columns, array_to_vector("v").alias("features"))
+    return sents.select("sents").mapInArrow(run, "v array<double>").select(array_to_vector("v").alias("features"))
 
 
 def _leaf_terms(sents: DataFrame, n_terms: int) -> dict[int, tuple[int, float]]:
@@ -251,8 +256,21 @@ def _leaf_terms(sents: DataFrame, n_terms: int) -> dict[int, tuple[int, float]]:
         return {}
     # the order of the ids, which are hashes, is a random order
     chosen = sents.where("votes IS NOT NULL").select("id", "sents").orderBy("id").limit(FIT)
-    model = BisectingKMeans(k=LEAVES, maxIter=PASSES, seed=7, minDivisibleClusterSize=4.0).fit(cut(_vectors(chosen, voted, areas, n_terms).select("features")))
-    leaves = model.transform(_vectors(sents.where("votes IS NOT NULL"), voted, areas, n_terms)).select(F.col("prediction").alias("leaf"), F.inline("votes"))
+    profiles = _Profiles(voted, areas, n_terms)
+    model = BisectingKMeans(k=LEAVES, maxIter=PASSES, seed=7, minDivisibleClusterSize=4.0).fit(cut(_vectors(chosen, profiles)))
+    centers = np.array(model.clusterCenters())
+    half = (centers**2).sum(1) / 2
+
+    def leaf_of(x: _Batch) -> np.ndarray:
+        """The leaf whose centre is nearest to each document."""
+        return (profiles(x) @ centers.T - half).argmax(1)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(leaf_of(_Batch(b.column(0))), pa.int32()), b.column(1)], ["leaf", "votes"])
+
+    labelled = sents.where("votes IS NOT NULL").select("sents", "votes")
+    leaves = labelled.mapInArrow(place, f"leaf int, votes {labelled.schema['votes'].dataType.simpleString()}").select("leaf", F.inline("votes"))
     rows = small_rows(leaves.groupBy("leaf", "area_id").agg(F.sum("w").alias("w")), LEAVES * MAX_AREAS)
     mix = np.zeros((LEAVES, len(areas)))
     for r in rows:
@@ -265,7 +283,7 @@ def _leaf_terms(sents: DataFrame, n_terms: int) -> dict[int, tuple[int, float]]:
             x = _Batch(b.column(0))
             key, _ = wordhash.counted(x.doc[x.sent] * n_terms + x.term)
             doc = key // n_terms
-            counts += np.bincount((key - doc * n_terms) * LEAVES + b.column(1).to_numpy(zero_copy_only=False)[doc], minlength=len(counts))
+            counts += np.bincount((key - doc * n_terms) * LEAVES + leaf_of(x)[doc], minlength=len(counts))
         counts = counts.reshape(-1, LEAVES)
         return np.column_stack([counts.sum(1), counts @ mix])
 
@@ -274,8 +292,7 @@ def _leaf_terms(sents: DataFrame, n_terms: int) -> dict[int, tuple[int, float]]:
         t = np.flatnonzero(share >= LEAF)
         return pa.RecordBatch.from_arrays([pa.array(at + t, pa.int32()), pa.array(np.array(areas)[m[t, 1:].argmax(1)], pa.int32()), pa.array(share[t])], ["term", "area", "share"])
 
-    placed = model.transform(_vectors(sents, voted, areas, n_terms)).select("sents", "prediction")
-    return {r["term"]: (r["area"], r["share"]) for r in small_rows(_summed(placed, partial, finish, "term int, area int, share double"), n_terms)}
+    return {r["term"]: (r["area"], r["share"]) for r in small_rows(_summed(sents.select("sents"), partial, finish, "term int, area int, share double"), n_terms)}
 
 
 def _weigh(sents: DataFrame, weights: dict[int, tuple[int, float]], known: np.ndarray, least_share: float, least: float) -> tuple[dict[int, tuple[int, float]], np.ndarray]:

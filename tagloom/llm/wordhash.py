@@ -26,16 +26,16 @@ _WORD, _DIGIT, _EAST, _JOIN, _END, _CLOSE, _BLANK, _LINE, _EAST_END = 1, 2, 3, 4
 
 @cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """(class, lower case) of every code point; digits become 0."""
-    kind, low = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    """(class, lower case plus 1, so that no character is 0) of every code point; digits become 0."""
+    kind, low = np.zeros(0x110000, np.uint8), np.arange(1, 0x110001, dtype=np.uint64)
     for cp in range(0x20000):
         ch = chr(cp)
         if ch.isdecimal():
-            kind[cp], low[cp] = _DIGIT, ord("0")
+            kind[cp], low[cp] = _DIGIT, ord("0") + 1
         elif ch.isalnum():
             kind[cp] = _WORD
             if len(ch.lower()) == 1:
-                low[cp] = ord(ch.lower())
+                low[cp] = ord(ch.lower()) + 1
         elif ch.isspace():
             kind[cp] = _BLANK
     for lo, hi in ((0x3041, 0x3097), (0x309D, 0x3100), (0x3400, 0xA000), (0x20000, 0x32000)):
@@ -87,20 +87,21 @@ def _neighbours(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def terms(texts: list[str]) -> Terms:
     """Terms of the texts; ``sent_doc`` counts the texts from 0."""
-    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.intp)
     kinds, lower = _tables()
     kind, low = kinds[codes], lower[codes]
     doc_end = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     digit = kind == _DIGIT
     more = digit & _neighbours(digit)[0]
-    if more.any():
+    dropped = np.flatnonzero(more)
+    if len(dropped):
         keep = ~more
-        doc_end = np.cumsum(keep)[doc_end - 1]
+        doc_end = doc_end - np.searchsorted(dropped, doc_end)
         kind, low = kind[keep], low[keep]
     n = len(low)
     up, down = _powers(1 << max(10, int(n + 1).bit_length()))
     run = np.zeros(n + 1, np.uint64)
-    np.cumsum((low + np.uint32(1)).astype(np.uint64) * up[:n], out=run[1:])
+    np.cumsum(np.multiply(low, up[:n], out=low), out=run[1:])
 
     inner = (kind > 0) & (kind <= _EAST)
     before, after = _neighbours(inner)
@@ -126,9 +127,8 @@ def terms(texts: list[str]) -> Terms:
     stops = np.append(first[1:], len(word))
     sent_hash = _stretches(chain, down, first, stops) if len(first) else np.zeros(0, np.uint64)
 
-    east_before = np.zeros(n + 1, np.int64)
-    np.cumsum(kind == _EAST, out=east_before[1:])
-    east = east_before[end] > east_before[start]
+    east = np.zeros(len(word), bool)
+    east[np.searchsorted(start, np.flatnonzero(kind == _EAST), "right") - 1] = True
     plain = ~east
     pair = np.flatnonzero(plain[:-1] & plain[1:] & (sent[:-1] == sent[1:])) if len(word) else np.zeros(0, np.int64)
     hashes, of = [word[plain] & ~np.uint64(1), _mixed(word[pair] * _NEXT + word[np.minimum(pair + 1, max(len(word) - 1, 0))]) | np.uint64(1)], [sent[plain], sent[pair]]
