@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom import catalog
+from tagloom.functions import normalize as N
 from tagloom.functions.normalize import first_value, value_list, year_of
 from tagloom.operators.running import running_last
 from tagloom.session import stored
@@ -150,6 +151,36 @@ def accepted_changes(mapped: DataFrame) -> DataFrame:
     return kept.where(changed).select("file_id", "common_id", "seq", "value")
 
 
+#: Common tags that hold a position and a total, and those that are flags.
+PAIRS = ["track", "disk", "movementIndex"]
+FLAGS = ["compilation", "gapless", "podcast", "showMovement"]
+
+
+def typed_values(mapped: DataFrame) -> DataFrame:
+    """Adds no, of, flag, share, stars and comment: what the text of a tag means, by the rules of its format.
+
+    MP4 totals of 0 mean none and MP4 flags are numbers over 0, as are the podcast flags of ID3; other flags are words.
+    Ratings are shares of 100: those of ASF are kept within 0 and 1, those of RIFF within 0 and 100 before the division.
+    A text that is no number or flag gives null.
+    """
+    tag, text, mp4 = F.col("common_id"), F.col("value"), F.col("format_id") == "iTunes"
+    pair, flag = tag.isin(PAIRS), tag.isin(FLAGS)
+    number = text.try_cast("double")
+    share = F.when(F.col("format_id") == "asf", F.least(F.greatest(number / 100, F.lit(0.0)), F.lit(1.0))).when(F.col("format_id") == "exif", N.rating(number, 0.0, 100.0)).otherwise(N.rating(number))
+    by_number = F.when(text.try_cast("double").isNotNull(), N.number_to_bool(text)).otherwise(N.to_bool(text))
+    of_format = F.when(mp4, by_number).when(tag == "podcast", F.coalesce(N.nonzero(text), N.to_bool(text))).otherwise(N.to_bool(text))
+    return mapped.withColumns(
+        {
+            "no": F.when(pair, N.position(text)),
+            "of": F.when(pair, F.when(mp4, N.total(text, True)).otherwise(N.total(text))),
+            "flag": F.when(flag, of_format),
+            "share": F.when(tag == "rating", share),
+            "stars": F.when(tag == "rating", N.stars(share)),
+            "comment": F.when(tag == "comment", N.comment_struct(text)),
+        }
+    )
+
+
 def snapshots(mapped: DataFrame, fields: list[str]) -> DataFrame:
     """(file_id, common_id, seq, fields): the named tags of the record after each accepted change; null where none came yet."""
     changes = accepted_changes(mapped)

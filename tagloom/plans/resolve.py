@@ -100,12 +100,24 @@ def record_snapshots(spark, d):
     return R.snapshots(_mapped(spark, d), ["title", "artist", "album"])
 
 
+def typed_tag_values(spark, d):
+    """Lines of an order as tags of four formats: positions, flags and ratings by the rules of each."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    k = F.col("l_partkey") % 7
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (k + 1).cast("int"))
+    fmt = F.element_at(F.array(*[F.lit(x) for x in ("iTunes", "asf", "exif", "ID3v2.4")]), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    value = F.when(k == 0, F.concat(F.col("l_linenumber").cast("string"), F.lit("/"), (F.col("l_quantity").cast("int") % 3).cast("string"))).when(k < 4, pick(["", "1", "0", "yes", "", "", ""])).otherwise(((F.col("l_quantity") - 10) * 4).cast("int").cast("string"))
+    rows = li.select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("seq"), fmt.alias("format_id"), pick(["track", "compilation", "podcast", "gapless", "rating", "rating", "comment"]).alias("common_id"), value.alias("value"))
+    t = R.typed_values(rows)
+    return t.groupBy("format_id", "common_id", "value", "no", "of", "flag", F.round("share", 4).alias("share"), "stars", F.col("comment.text").alias("comment")).agg(F.count("*").alias("n"))
+
+
 def list_rows_ordered(spark, d):
     """Values of lists that keep repeats, in order."""
     return R.list_rows(_mapped(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (tag_mapping_join, unmapped_tags, native_group_by, native_blocks, merge_singleton_priority, merge_artist_first, merge_list_unique, normalized_record, json_sink, event_snapshots, format_partial_update, tag_semantics_kinds, track_total_pair, rating_stars, bool_parse, select_cover, record_snapshots, list_rows_ordered)}
+QUERIES = {f.__name__: f for f in (tag_mapping_join, unmapped_tags, native_group_by, native_blocks, merge_singleton_priority, merge_artist_first, merge_list_unique, normalized_record, json_sink, event_snapshots, format_partial_update, tag_semantics_kinds, track_total_pair, rating_stars, bool_parse, select_cover, record_snapshots, list_rows_ordered, typed_tag_values)}
 
 _MAP = catalog.sql_values(catalog.tag_map_rows(), "tm(f, nl, common_id)")
 _PRI = catalog.sql_values(catalog.PRIORITY.items(), "pr(pf, p)")
@@ -156,6 +168,12 @@ ORACLE = {
         k AS (SELECT *, lag(format_id) OVER (PARTITION BY file_id, common_id ORDER BY seq) AS lf FROM w WHERE before IS NULL OR priority >= before),
         c AS (SELECT file_id, common_id, seq, value FROM k WHERE common_id <> 'artist' OR lf IS NULL OR lf <> format_id)
         SELECT file_id, common_id, seq, {', '.join(f"last_value(CASE WHEN common_id = '{f}' THEN value END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY seq, common_id ROWS UNBOUNDED PRECEDING) AS {f}" for f in ('title', 'artist', 'album'))} FROM c""",
+    "typed_tag_values": """WITH r AS (SELECT l_partkey % 7 AS k, ['iTunes', 'asf', 'exif', 'ID3v2.4'][l_suppkey % 4 + 1] AS format_id, ['track', 'compilation', 'podcast', 'gapless', 'rating', 'rating', 'comment'][l_partkey % 7 + 1] AS common_id,
+            CASE WHEN l_partkey % 7 = 0 THEN l_linenumber || '/' || CAST(l_quantity AS INT) % 3 WHEN l_partkey % 7 < 4 THEN ['', '1', '0', 'yes'][l_partkey % 7 + 1] ELSE CAST(CAST((l_quantity - 10) * 4 AS INT) AS VARCHAR) END AS value, l_linenumber, CAST(l_quantity AS INT) % 3 AS q FROM lineitem),
+        s AS (SELECT *, CASE WHEN common_id = 'rating' THEN CASE WHEN format_id IN ('asf', 'exif') THEN least(greatest(CAST(value AS DOUBLE) / 100, 0), 1) ELSE CAST(value AS DOUBLE) / 100 END END AS sh FROM r)
+        SELECT format_id, common_id, value, CASE WHEN k = 0 THEN l_linenumber END AS "no", CASE WHEN k = 0 AND NOT (format_id = 'iTunes' AND q = 0) THEN q END AS "of", CASE k WHEN 1 THEN TRUE WHEN 2 THEN FALSE WHEN 3 THEN TRUE END AS flag,
+            round(sh, 4) AS share, CASE WHEN sh IS NOT NULL THEN CAST(least(greatest(round(sh * 4 + 1), 1), 5) AS INT) END AS stars, CASE WHEN k = 6 THEN value END AS comment, count(*) AS n
+        FROM s GROUP BY ALL""",
     "list_rows_ordered": f"""WITH {_BASE} SELECT file_id, common_id, seq, CAST(unnest(range(len(vals))) AS INT) AS pos, unnest(vals) AS value FROM (
         SELECT *, max(priority) OVER (PARTITION BY file_id, common_id) AS mp FROM m WHERE NOT single AND NOT uniq) WHERE priority = mp""",
     "json_sink": f"""WITH {_BASE}{_RECORD}, t AS (SELECT file_id, CASE WHEN title IS NOT NULL THEN '"title":' || CAST(to_json(title) AS VARCHAR) END AS a, CASE WHEN "year" IS NOT NULL THEN '"year":' || "year" END AS b, CASE WHEN {_TRACK} IS NOT NULL THEN '"track_no":' || {_TRACK} END AS c FROM n)

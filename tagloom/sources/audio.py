@@ -29,6 +29,7 @@ DECODERS: dict[str, Callable[[bytes, Events], None]] = {
     "dsdiff": iff.dsdiff,
     "id3v2": lambda b, out: id3.id3v2(b, 0, out),
     "mpeg": mpeg.mpeg,
+    "lyrics3": mpeg.lyrics3,
 }
 
 

@@ -82,7 +82,7 @@ class Tag:
                 return
             if not _FRAME_ID[self.major].fullmatch(ident):
                 self.out.warn(f"invalid {self.format_id} frame id")
-                return
+                return  # the caller goes on behind the tag
             raw_size = b[at + width : at + width + (3 if self.major == 2 else 4)]
             size = synchsafe(raw_size) if self.major == 4 else int.from_bytes(raw_size, "big")
             flags = b[at + 9] if self.major > 2 else 0
@@ -165,6 +165,8 @@ class Tag:
                 head, url = _cut(sub[0], sub[1:])
                 c["url"] = url.decode("latin-1").rstrip("\x00")
                 c["url_description"] = decode_text(sub[0], head)
+            elif name in ("APIC", "PIC") and sub:
+                self.picture(name, sub)
         self.chapters[c["id"]] = c
 
 

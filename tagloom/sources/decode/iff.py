@@ -108,6 +108,20 @@ def aiff(b: bytes, out: Events) -> None:
             id3v2(p, 0, out)
 
 
+def _comments(p: bytes) -> list[str]:
+    """Texts of a COMT chunk: time, type and reference in ten bytes, the size in four, the text, padded to an even size."""
+    found, at = [], 2
+    for _ in range(unpack(">H", p)[0]):
+        if at + 14 > len(p):
+            break
+        (size,) = unpack(">I", p, at + 10)
+        text = p[at + 14 : at + 14 + size].decode("utf-8", "replace").strip("\x00 ")
+        if text:
+            found.append(text)
+        at += 14 + size + size % 2
+    return found
+
+
 def dsdiff(b: bytes, out: Events) -> None:
     if b[:4] != b"FRM8" or b[12:16] != b"DSD ":
         raise ContentError("DSDIFF", "FRM8/DSD is missing")
@@ -122,11 +136,16 @@ def dsdiff(b: bytes, out: Events) -> None:
                 elif sub == "CHNL":
                     out.format(numberOfChannels=unpack(">H", v)[0])
                 elif sub == "CMPR":
-                    out.format(codec=v[5 : 5 + v[4]].decode("latin-1") if v[:4] != b"DSD " else "DSD")
+                    code, name = v[:4].decode("latin-1").rstrip(), v[5 : 5 + v[4]].decode("latin-1")
+                    out.format(codec=f"{code} ({name})" if name else code, lossless=True if code == "DSD" else None)
+                elif sub in ("ABSS", "LSCO"):
+                    continue  # start time and loudspeaker set-up tell nothing about the record
         elif ident == "DSD ":
             channels, rate = out.known.get("numberOfChannels") or 1, out.known.get("sampleRate")
             n = size * 8 // channels
             out.format(numberOfSamples=n, bitsPerSample=1, duration=n / rate if rate else None, bitrate=float(channels * rate) if rate else None)
+        elif ident == "COMT":
+            out.tag("DSDIFF", "COMT", _comments(p) or None)
         elif ident == "ID3 ":
             id3v2(p, 0, out)
 

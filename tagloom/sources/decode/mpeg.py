@@ -9,6 +9,9 @@ from tagloom.sources.fixed_layout import AAC_CHANNELS, AAC_PROFILES, AAC_RATES,
 
 _VERSIONS = {0: 2.5, 2: 2.0, 3: 1.0}
 
+# Fixed value: bytes a Lyrics3 v2 block has at most.
+_LYRICS3_MOST = 102_400
+
 
 class Frame:
     """A frame header; ``ok`` is false where the four bytes are none."""
@@ -101,6 +104,22 @@ def mpeg(b: bytes, out: Events) -> None:
             id3v1(b, out)
 
 
+def lyrics3(b: bytes, out: Events) -> None:
+    """A decoder of its own, which no file finds by its keys: the records of a Lyrics3 v2 block at the end of the bytes, in front of an ID3v1 block where there is one; larger blocks than the format allows are none."""
+    end = len(b) - 128 if b[-128:-125] == b"TAG" else len(b)
+    if end < 26 or b[end - 9 : end] != b"LYRICS200" or not b[end - 15 : end - 9].isdigit():
+        return
+    size = int(b[end - 15 : end - 9])
+    body = b[max(0, end - 15 - size) : end - 15]
+    if size > _LYRICS3_MOST or body[:11] != b"LYRICSBEGIN":
+        return
+    at = 11
+    while at + 8 <= len(body) and body[at + 3 : at + 8].isdigit():
+        n = int(body[at + 3 : at + 8])
+        out.tag("Lyrics3", body[at : at + 3].decode("latin-1"), body[at + 8 : at + 8 + n].decode("latin-1"))
+        at += 8 + n
+
+
 def _frames(b: bytes, at: int, out: Events) -> None:
     first, begin = Frame(b, at), at
     out.format(container="MPEG", codec=first.codec, lossless=False, sampleRate=first.rate, numberOfChannels=1 if first.mono else 2, bitrate=float(first.bitrate), hasAudio=True)

@@ -114,3 +114,23 @@ def test_cut_files_never_crash(make, loader):
 
 def test_unknown_loader_is_an_error_row():
     assert decode_bytes(b"x", None)[0][3] == "CouldNotDetermineFileTypeError"
+
+
+def test_lyrics3_and_chapter_pictures_and_dsdiff_comments():
+    import struct
+
+    block = b"LYRICSBEGIN" + b"IND00003110" + b"LYR00005Hello"
+    mp3 = B.mpeg_frames() + block + f"{len(block):06d}".encode() + b"LYRICS200" + B.id3v1()
+    rows = {r[3]: r[4] for r in decode_bytes(mp3, "lyrics3", PRESETS["all"]) if r[1] == "tag" and r[2] == "Lyrics3"}
+    assert rows == {"IND": "110", "LYR": "Hello"}
+    assert not [r for r in decode_bytes(mp3, "mpeg", PRESETS["all"]) if r[2] == "Lyrics3"]
+    pic = b"\x00image/png\0\x03\0\x89PNG"
+    chap = b"c1\0" + struct.pack(">IIII", 0, 1000, 0xFFFFFFFF, 0xFFFFFFFF) + b"APIC" + B.synchsafe(len(pic)) + b"\0\0" + pic
+    assert [r[8] for r in decode_bytes(B.id3v2([("CHAP", chap)]), "id3v2", PRESETS["all"]) if r[1] == "picture"] == [b"\x89PNG"]
+    c = lambda n, p: n + struct.pack(">Q", len(p)) + p + b"\0" * (len(p) % 2)
+    prop = b"SND " + c(b"FS  ", struct.pack(">I", 2822400)) + c(b"CHNL", struct.pack(">H", 2)) + c(b"CMPR", b"DSD " + bytes([3]) + b"raw") + c(b"ABSS", struct.pack(">HBBI", 1, 2, 3, 4)) + c(b"LSCO", struct.pack(">H", 7))
+    comt = struct.pack(">H", 1) + struct.pack(">HBBBBHH", 2020, 1, 1, 0, 0, 0, 0) + struct.pack(">I", 4) + b"Nice"
+    body = b"DSD " + c(b"PROP", prop) + c(b"COMT", comt) + c(b"DSD ", bytes(100))
+    rows = decode_bytes(b"FRM8" + struct.pack(">Q", len(body)) + body, "dsdiff", PRESETS["all"])
+    assert [(r[3], r[9]) for r in rows if r[1] == "tag"] == [("COMT", ["Nice"])]
+    assert [r[4] for r in rows if r[3] == "codec"][-1] == "DSD (raw)"
