@@ -83,8 +83,10 @@ def width_table() -> tuple[str, str]:
 def plain_words(col: Column) -> Column:
     """Lower-case text in ordinary width with single blanks, without invisible characters; accents stay."""
     src, dst = width_table()
-    seen = F.regexp_replace(col, "[" + INVISIBLE + "]", "")
-    return F.trim(F.regexp_replace(F.lower(F.translate(seen, src, dst)), f"[{JAVA_BLANK}]+", " "))
+    # most texts are ASCII and need none of the replacements
+    odd = col.rlike(r"[^\x00-\x7f]")
+    seen = F.when(odd, F.translate(F.regexp_replace(col, "[" + INVISIBLE + "]", ""), src, dst)).otherwise(col)
+    return F.trim(F.regexp_replace(F.lower(seen), f"[{JAVA_BLANK}]+", " "))
 
 
 def strip_blanks(col: Column) -> Column:
