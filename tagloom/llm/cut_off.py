@@ -131,7 +131,7 @@ def cut_values(tags: DataFrame, fields: list[str] = FIELDS, source: str = "feed"
     text, bare = _normal(plain_text(F.coalesce("repaired", "value")))
     repaired = garbled_values(tags, fields).select("rec_id", "fieldname", "value", "repaired")
     read = long_fields(tags, fields).distinct().join(repaired, ["rec_id", "fieldname", "value"], "left")
-    values = cut(read.select("rec_id", "fieldname", "value", text.alias("text"), bare.alias("bare")).where("bare <> ''"))
+    values = cut(read.select("rec_id", "fieldname", "value", text.alias("text"), bare.alias("bare"))).where("bare <> ''")  # behind the table: before it, the filter would compute the words once more
     # a field limit is one source's; a title that ends so is marked in several
     sources = tags.select("rec_id", F.struct(source).alias("source")).distinct()
     marked = values.where("text <> bare").join(sources, "rec_id").groupBy("text").agg(F.countDistinct("source").alias("k")).where(F.col("k") >= SOURCES).select("text", F.lit(True).alias("own"))
