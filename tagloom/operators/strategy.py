@@ -14,6 +14,9 @@ SMALL_FILE, LARGE_FILE, TAIL = 5 * MIB, 50 * MIB, 16 * MIB
 #: Ranged requests that run side by side, tries of each, and milliseconds of waiting per try.
 PARALLEL, TRIES, BACK_OFF_MS = 4, 3, 200
 
+#: Factor and step of the places of scattered probes.
+SCATTER = (1103515245, 12345)
+
 # Extensions and parts of MIME types per category, asked in this order.
 CATEGORIES = {
     "mp4": ("mp4 m4a m4b m4p m4r m4v", "/mp4 m4a m4b"),
@@ -98,7 +101,10 @@ def _down(pos: Column) -> Column:
 
 
 def probe_ranges(size: Column, probe: Column, seed: Column) -> Column:
-    """ARRAY<STRUCT<lo, hi>> of the ranges of a probe, not merged. Random probes come from a hash of ``seed``."""
+    """ARRAY<STRUCT<lo, hi>> of the ranges of a probe, not merged; an object of unknown size is read from 0 to its end, a null ``hi``.
+
+    The two scattered probes of an unknown format follow from ``seed``, a long such as a hash of the path, so plans repeat.
+    """
 
     def r(lo: Column, hi: Column, when: Column | None = None) -> Column:
         s = F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
@@ -107,14 +113,14 @@ def probe_ranges(size: Column, probe: Column, seed: Column) -> Column:
     zero = F.lit(0)
     head, tail = r(zero, F.least(F.lit(HEAD), size)), r(_down(F.greatest(zero, size - CHUNK)), size, size > HEAD)
     mid = _down(F.floor(size / 2) - CHUNK // 2)
-    rnd = [_down(F.pmod(F.xxhash64(seed, F.lit(i)), F.greatest(size - 2 * CHUNK, F.lit(1))) + CHUNK) for i in (0, 1)]
+    rnd = [_down(F.pmod(F.pmod(seed, F.lit(1 << 31)) * SCATTER[0] + SCATTER[1] * i, F.greatest(size - 2 * CHUNK, F.lit(1))) + CHUNK) for i in (1, 2)]
     scatter = [head, tail, r(mid, mid + CHUNK, size > 8 * CHUNK), *[r(x, x + CHUNK, size > 16 * CHUNK) for x in rnd]]
     mp4 = [head, r(F.when(size > TAIL, _down(size - TAIL)).otherwise(zero), size)]
     for quarter in (1, 2, 3):
         at = _down(F.floor(size * quarter / 4))
         mp4.append(r(at, F.least(at + CHUNK, size), size > 8 * CHUNK))
     kinds = {"headerOnly": [head], "headerAndTail": [head, tail], "scatter": scatter, "mp4Optimized": mp4, "full": [r(zero, size)]}
-    found = F
+    found = F.when(size.isNull(), F.array(r(zero, F.lit(None))))
     for name, ranges in kinds.items():
         found = found.when(probe == name, F.filter(F.array(*ranges), lambda x: x.isNotNull()))
     return found

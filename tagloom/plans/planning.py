@@ -39,17 +39,17 @@ def strategy_choice(spark, d):
 
 
 def probe_ranges_merged(spark, d):
-    """Merged probe ranges; the random probes of unknown formats are left to the test."""
-    r = _remote(spark, d).where("size IS NOT NULL AND category <> 'unknown'")
-    merged = S.merge_ranges(S.probe_ranges(_c("size"), S.probe_of(_c("category")), _c("url")))
+    """Merged probe ranges of every file; one of unknown size is read from 0 to its end."""
+    r = _remote(spark, d)
+    merged = S.merge_ranges(S.probe_ranges(_c("size"), S.probe_of(_c("category")), _c("file_id")))
     return r.select("file_id", F.inline(merged)).select("file_id", "lo", "hi")
 
 
 def fetch_statistics(spark, d):
     """Bytes and requests a plan takes per strategy."""
-    r = _remote(spark, d).where("size IS NOT NULL AND category <> 'unknown'")
-    ranges = S.merge_ranges(S.probe_ranges(_c("size"), S.probe_of(_c("category")), _c("url")))
-    g = r.select("category", ranges.alias("r")).select("category", F.size("r").cast("long").alias("requests"), F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x["hi"] - x["lo"]).alias("bytes"), F.size(S.request_batches(_c("r"))).cast("long").alias("batches"))
+    r = _remote(spark, d)
+    ranges = S.merge_ranges(S.probe_ranges(_c("size"), S.probe_of(_c("category")), _c("file_id")))
+    g = r.select("category", ranges.alias("r")).select("category", F.size("r").cast("long").alias("requests"), F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["hi"] - x["lo"], F.lit(0))).alias("bytes"), F.size(S.request_batches(_c("r"))).cast("long").alias("batches"))
     return g.groupBy("category").agg(F.sum("requests").alias("requests"), F.sum("bytes").alias("bytes"), F.sum("batches").alias("batches"))
 
 
@@ -183,14 +183,16 @@ _EXT = "lower(nullif(regexp_extract({0}, '^.+\\.([^.]+)$', 1), ''))"
 _FILE = "regexp_extract(file_path, '([^/]*)$', 1)"
 _REMOTE = f"r AS (SELECT *, {_cat('coalesce(ext, ' + repr('') + ')')} AS category FROM (SELECT DISTINCT file_id, byte_len AS size, CASE WHEN file_id % 3 = 0 THEN mime_type END AS mime, file_id % 7 <> 0 AS ranges, {_EXT.format(_FILE)} AS ext FROM audio_files))"
 _PROBE = "CASE category WHEN 'mp4' THEN 'mp4Optimized' WHEN 'mpeg' THEN 'headerAndTail' WHEN 'header-only' THEN 'headerOnly' ELSE 'scatter' END"
-_RANGES = f"""{_REMOTE}, k AS (SELECT file_id, size, category FROM r WHERE size IS NOT NULL AND category <> 'unknown'),
+_RANGES = f"""{_REMOTE}, k AS (SELECT file_id, size, category FROM r WHERE size IS NOT NULL),
     g AS (SELECT file_id, category, 0 AS lo, least(262144, size) AS hi FROM k
-        UNION ALL SELECT file_id, category, (size - 65536) // 65536 * 65536, size FROM k WHERE category = 'mpeg' AND size > 262144
+        UNION ALL SELECT file_id, category, (size - 65536) // 65536 * 65536, size FROM k WHERE category IN ('mpeg', 'unknown') AND size > 262144
+        UNION ALL SELECT file_id, category, (size // 2 - 32768) // 65536 * 65536, (size // 2 - 32768) // 65536 * 65536 + 65536 FROM k WHERE category = 'unknown' AND size > 524288
+        UNION ALL SELECT file_id, category, x, x + 65536 FROM (SELECT *, (((file_id % 2147483648) * 1103515245 + 12345 * i) % (size - 131072) + 65536) // 65536 * 65536 AS x FROM k, (VALUES (1), (2)) AS v(i) WHERE category = 'unknown' AND size > 1048576)
         UNION ALL SELECT file_id, category, CASE WHEN size > 16777216 THEN (size - 16777216) // 65536 * 65536 ELSE 0 END, size FROM k WHERE category = 'mp4'
         UNION ALL SELECT file_id, category, (size * q // 4) // 65536 * 65536, least((size * q // 4) // 65536 * 65536 + 65536, size) FROM k, (VALUES (1), (2), (3)) AS v(q) WHERE category = 'mp4' AND size > 524288),
     o AS (SELECT *, max(hi) OVER (PARTITION BY file_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ph FROM g),
     i AS (SELECT *, sum(CASE WHEN ph IS NULL OR lo > ph THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS gi FROM o),
-    mg AS (SELECT file_id, category, min(lo) AS lo, max(hi) AS hi FROM i GROUP BY file_id, category, gi)"""
+    mg AS (SELECT file_id, category, min(lo) AS lo, max(hi) AS hi FROM i GROUP BY file_id, category, gi UNION ALL SELECT file_id, category, 0, NULL FROM r WHERE size IS NULL)"""
 _STTS = "s AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS idx, CAST(l_quantity AS BIGINT) AS cnt, l_partkey % 1000 + 1 AS dur, l_suppkey % 4 + 1 AS spc FROM lineitem)"
 _RUN = f"{_STTS}, t AS (SELECT *, CAST(coalesce(sum(cnt) OVER w, 0) AS BIGINT) AS first_sample, CAST(coalesce(sum(cnt * dur) OVER w, 0) AS BIGINT) AS first_time FROM s WINDOW w AS (PARTITION BY l_orderkey ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
 _STAMPMS = "(l_partkey % 60 * 60 + l_suppkey % 60) * 1000 + CASE WHEN l_linenumber % 2 = 1 THEN l_partkey % 1000 ELSE l_partkey % 100 * 10 END"
@@ -204,7 +206,7 @@ ORACLE = {
     "url_extension": f"WITH {_REMOTE} SELECT file_id, ext, category FROM r",
     "strategy_choice": f"WITH {_REMOTE} SELECT file_id, category, CASE WHEN size IS NULL OR size <= 5242880 OR NOT ranges THEN 'fullDownload' WHEN category = 'header-only' THEN 'headerOnly' WHEN size > 52428800 THEN 'randomAccess' ELSE 'probe' END AS strategy, {_PROBE} AS probe FROM r",
     "probe_ranges_merged": f"WITH {_RANGES} SELECT file_id, lo, hi FROM mg",
-    "fetch_statistics": f"WITH {_RANGES}, pf AS (SELECT file_id, category, count(*) AS n, sum(hi - lo) AS b FROM mg GROUP BY 1, 2) SELECT category, CAST(sum(n) AS BIGINT) AS requests, CAST(sum(b) AS BIGINT) AS bytes, CAST(sum((n + 3) // 4) AS BIGINT) AS batches FROM pf GROUP BY category",
+    "fetch_statistics": f"WITH {_RANGES}, pf AS (SELECT file_id, category, count(*) AS n, sum(coalesce(hi - lo, 0)) AS b FROM mg GROUP BY 1, 2) SELECT category, CAST(sum(n) AS BIGINT) AS requests, CAST(sum(b) AS BIGINT) AS bytes, CAST(sum((n + 3) // 4) AS BIGINT) AS batches FROM pf GROUP BY category",
     "chunk_islands": "WITH c AS (SELECT DISTINCT l_orderkey, l_partkey % 12 AS c FROM lineitem), g AS (SELECT *, c - row_number() OVER (PARTITION BY l_orderkey ORDER BY c) AS gi FROM c) SELECT l_orderkey, min(c) AS lo, max(c) AS hi, max(c) - min(c) + 1 AS n FROM g GROUP BY l_orderkey, gi",
     "missing_chunks": "SELECT p_partkey, c AS chunk FROM (SELECT p_partkey, unnest(range((p_size * 1000) // 65536, (p_size * 9000 + p_partkey - 1) // 65536 + 1)) AS c FROM part WHERE p_size * 9000 + p_partkey > p_size * 1000) WHERE c NOT IN (1, 3)",
     "lrc_sync_lines": f"SELECT l_orderkey, 'en' AS language, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 AS INT) AS pos, {_STAMPMS} AS ms, l_returnflag || ' line ' || l_linenumber AS text FROM lineitem",
@@ -213,7 +215,7 @@ ORACLE = {
     "chapter_ends": "WITH c AS (SELECT DISTINCT file_id, start_ms, title, end_ms FROM chap WHERE file_id IS NOT NULL AND start_ms IS NOT NULL), s AS (SELECT *, lead(start_ms) OVER (PARTITION BY file_id ORDER BY start_ms) AS nx FROM (SELECT DISTINCT file_id, start_ms FROM c)) SELECT c.file_id, c.start_ms, c.title, coalesce(c.end_ms, s.nx) AS until FROM c JOIN s ON c.file_id = s.file_id AND c.start_ms = s.start_ms",
     "chapter_titles": "SELECT file_id, start_ms, CAST(n AS INT) AS n, coalesce(nullif(trim(title), ''), 'Chapter ' || n) AS title FROM (SELECT *, dense_rank() OVER (PARTITION BY file_id ORDER BY start_ms) AS n FROM (SELECT DISTINCT file_id, start_ms, title FROM chap WHERE file_id IS NOT NULL AND start_ms IS NOT NULL))",
     "toc_join": "WITH c AS (SELECT DISTINCT file_id, chap_label, title, start_ms FROM chap) SELECT c.file_id, t.pos, c.chap_label, c.title, c.start_ms FROM (VALUES (0, 'chp3'), (1, 'chp2'), (2, 'chp9999'), (3, 'chp1'), (4, 'chp0')) AS t(pos, child) JOIN c ON c.chap_label = t.child WHERE c.file_id IS NOT NULL",
-    "vorbis_chapters": "WITH c AS (SELECT file_id, start_ms, max(title) AS title FROM chap WHERE file_id IS NOT NULL AND start_ms IS NOT NULL GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY start_ms) AS n FROM c) SELECT file_id, CAST(n AS INT) AS n, start_ms, coalesce(nullif(trim(title), ''), 'Chapter ' || n) AS title, lead(start_ms) OVER (PARTITION BY file_id ORDER BY start_ms) AS end_ms FROM n WHERE n < 1000 AND start_ms < 360000000",
+    "vorbis_chapters": "WITH c AS (SELECT file_id, start_ms, max(title) AS title FROM chap WHERE file_id IS NOT NULL AND start_ms IS NOT NULL GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY start_ms) AS n FROM c) SELECT file_id, CAST(n AS INT) AS n, start_ms, coalesce(nullif(trim(title), ''), 'Chapter ' || n) AS title, lead(start_ms) OVER (PARTITION BY file_id ORDER BY start_ms) AS end_ms FROM n",
     "stts_running_sum": f"WITH {_RUN} SELECT l_orderkey, CAST(idx AS INT) AS idx, first_sample, first_time FROM t",
     "stts_sample_times": f"WITH {_RUN}, p AS (SELECT DISTINCT s.l_orderkey, CAST(v.x AS BIGINT) AS sample FROM s, (VALUES (0), (7), (30), (61), (400)) AS v(x)) SELECT p.l_orderkey, p.sample, t.first_time + (p.sample - t.first_sample) * t.dur AS \"time\" FROM p LEFT JOIN t ON p.l_orderkey = t.l_orderkey AND p.sample >= t.first_sample AND p.sample < t.first_sample + t.cnt",
     "stsc_range_join": f"WITH {_STTS}, e AS (SELECT l_orderkey, idx * 3 - 2 AS f, lead(idx * 3 - 2) OVER (PARTITION BY l_orderkey ORDER BY idx) AS t, spc FROM s), c AS (SELECT DISTINCT s.l_orderkey, CAST(v.x AS INT) AS chunk FROM s, range(1, 13) AS v(x)) SELECT c.l_orderkey, c.chunk, e.spc AS n FROM c JOIN e ON c.l_orderkey = e.l_orderkey AND c.chunk >= e.f AND (e.t IS NULL OR c.chunk < e.t)",

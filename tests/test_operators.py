@@ -62,7 +62,7 @@ def test_lists_and_dates(spark):
 
 def test_ranges(spark):
     df = spark.sql("SELECT * FROM VALUES (100L), (300000L), (2000000L), (40000000L) AS t(size)")
-    rows = df.select("size", S.merge_ranges(S.probe_ranges(F.col("size"), F.lit("scatter"), F.lit("u"))).alias("r")).collect()
+    rows = df.select("size", S.merge_ranges(S.probe_ranges(F.col("size"), F.lit("scatter"), F.xxhash64(F.lit("u")))).alias("r")).collect()
     for r in rows:
         assert r["r"][0]["lo"] == 0 and r["r"][-1]["hi"] == r["size"]
         assert all(a["hi"] < b["lo"] for a, b in zip(r["r"], r["r"][1:]))
