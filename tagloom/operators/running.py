@@ -37,7 +37,8 @@ def running_last(rows: DataFrame, keys: list[str], order: list[str], values: dic
     inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     at = F.struct(*order)
-    # one exchange serves the windows and the summaries of the blocks
+    # one exchange serves the windows and the summaries of the blocks. It is stated: after a union of inputs that are partitioned
+    # alike, Spark 4.1 (spark.sql.unionOutputPartitioning) leaves it out and groups the inputs apart, which gives wrong rows
     r = rows.withColumns({"_b": _block(order[0], size), **{f"_v_{n}": c for n, c in values.items()}}).repartition(*keys, "_b")
     per = r.groupBy(*keys, "_b").agg(*[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_l_{n}") for n in values])
     carry = per.select(*keys, "_b", *[F.last(f"_l_{n}", ignorenulls=True).over(across).alias(f"_c_{n}") for n in values])
