@@ -362,7 +362,8 @@ def garbled_tokens(distinct: DataFrame, ascii_words: DataFrame) -> DataFrame:
     judged = pairs_.mapInArrow(check, "token string, word string, n_word long, credit int").where("credit > 0")
     best = judged.groupBy("token").agg(F.max(F.struct("credit", "n_word", "word")).alias("best")).select("token", F.col("best.word").alias("original"), (F.col("best.n_word") > 0).alias("in_corpus"))
     gone = distinct.where(F.col("token").contains("�") | F.col("token").rlike(r"\p{L}\?+\p{L}|^\?+\p{L}")).select("token", F.lit(None).cast("string").alias("original"), F.lit(False).alias("in_corpus"))
-    return best.unionByName(gone).groupBy("token").agg(F.max("original").alias("original"), F.max("in_corpus").alias("in_corpus"))
+    # the exchange is stated: after a union of inputs that are partitioned alike, Spark 4.1 may leave it out and group them apart
+    return best.unionByName(gone).repartition("token").groupBy("token").agg(F.max("original").alias("original"), F.max("in_corpus").alias("in_corpus"))
 
 
 def _wide_forms(words: DataFrame) -> DataFrame:
